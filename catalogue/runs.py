@@ -22,6 +22,7 @@ from tidemark.operators.splits import group_holdout
 from tidemark.operators.telemetry import TASK_TOTALS, resource_alignment, resource_summary, telemetry_rollup
 from tidemark.plans import products as p
 from tidemark.plans import validation as v
+from tidemark.session import materialise
 from tidemark.sources.runlog import repair_numbers
 
 SEED = 20
@@ -380,13 +381,14 @@ add(
 
 
 def customer_frame(spark, d) -> tuple[DataFrame, list[str]]:
-    """Compact features of all customers, as a model frame."""
-    return model_frame(p.compact_features(s.cohort(spark, d), s.SETTINGS))
+    """Compact features of all customers as a model frame, computed once."""
+    frame, features = model_frame(p.compact_features(s.cohort(spark, d), s.SETTINGS))
+    return materialise(frame), features
 
 
 def _split(spark, d):
     frame, features = customer_frame(spark, d)
-    split = v.materialise(group_holdout(frame, "subject_id", "mortality_label", 42))
+    split = materialise(group_holdout(frame, "subject_id", "mortality_label", 42))
     prep = Preprocessor.fit(split.where(~F.col("is_test")), features)
     keep = ["hadm_id", "mortality_label"]
     train = prep.transform(split.where(~F.col("is_test")), keep)

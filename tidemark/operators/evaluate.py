@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tidemark.operators.ranks import exact_quantiles, running_totals
 
@@ -176,51 +177,90 @@ def reliability_curve(
     )
 
 
+def _newton_step(sums: Row, ridge: float) -> tuple[float, float]:
+    g1 = sums["g1"] - ridge * sums["b"]
+    h11 = sums["h11"] + ridge
+    det = sums["h00"] * h11 - sums["h01"] ** 2
+    if not det > 0.0:
+        return 0.0, 0.0
+    return (h11 * sums["g0"] - sums["h01"] * g1) / det, (sums["h00"] * g1 - sums["h01"] * sums["g0"]) / det
+
+
 def logistic_line(
     rows: DataFrame,
     x: str,
     target: str,
     by: Sequence[str] = (),
     ridge: float = 0.0,
-    iterations: int = 12,
+    iterations: int = 60,
+    tolerance: float = 1e-10,
 ) -> DataFrame:
     """(by..., intercept, slope) of a one-variable logistic fit of ``target`` on ``x``.
 
-    All groups are fitted together: a Newton step is one aggregation of five sums per
-    group. ``ridge`` penalises half the squared slope, never the intercept. The chain is
-    a lazy plan; nothing is brought to the driver.
+    All groups are fitted together: one aggregation gives six sums per group, from which
+    the driver takes a Newton step, halved whenever the loss went up. ``ridge`` penalises
+    half the squared slope, never the intercept.
     """
     by = list(by)
     keys = by or ["__all"]
     points = rows if by else rows.withColumn("__all", F.lit(0))
     points = points.select(*keys, F.col(x).cast("double").alias("__x"), F.col(target).cast("double").alias("__t"))
-    fit = points.groupBy(*keys).agg(F.lit(0.0).alias("intercept"), F.lit(0.0).alias("slope"))
-    for _ in range(iterations):
-        named = fit.select(*[F.col(k).alias(f"__f_{k}") for k in keys], "intercept", "slope")
-        condition = F.lit(True)
-        for k in keys:
-            condition = condition & F.col(k).eqNullSafe(F.col(f"__f_{k}"))
-        moved = points.join(named, condition)
-        mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("intercept") + F.col("slope") * F.col("__x"))))
-        moved = moved.withColumn("__mu", mu).withColumn("__w", F.col("__mu") * (F.lit(1.0) - F.col("__mu")))
-        sums = moved.groupBy(*keys).agg(
-            F.max("intercept").alias("intercept"),
-            F.max("slope").alias("slope"),
-            F.sum(F.col("__t") - F.col("__mu")).alias("__g0"),
-            F.sum((F.col("__t") - F.col("__mu")) * F.col("__x")).alias("__g1"),
-            F.sum("__w").alias("__h00"),
-            F.sum(F.col("__w") * F.col("__x")).alias("__h01"),
-            F.sum(F.col("__w") * F.col("__x") * F.col("__x")).alias("__h11"),
-        )
-        g1 = F.col("__g1") - F.lit(float(ridge)) * F.col("slope")
-        h11 = F.col("__h11") + F.lit(float(ridge))
-        det = F.col("__h00") * h11 - F.col("__h01") * F.col("__h01")
-        fit = sums.select(
-            *keys,
-            (F.col("intercept") + F.coalesce(F.try_divide(h11 * F.col("__g0") - F.col("__h01") * g1, det), F.lit(0.0))).alias("intercept"),
-            (F.col("slope") + F.coalesce(F.try_divide(F.col("__h00") * g1 - F.col("__h01") * F.col("__g0"), det), F.lit(0.0))).alias("slope"),
-        )
-    return fit.select(*by, "intercept", "slope")
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = rows.sparkSession
+    schema = T.StructType(
+        [T.StructField(f"__f_{k}", points.schema[k].dataType) for k in keys]
+        + [T.StructField("__a", T.DoubleType()), T.StructField("__b", T.DoubleType())]
+    )
+    try:
+        groups = [tuple(row) for row in points.select(*keys).distinct().collect()]
+        trial = {g: (0.0, 0.0) for g in groups}
+        best = {g: (0.0, 0.0, float("inf")) for g in groups}
+        moving = set(groups)
+        for _ in range(iterations):
+            if not moving:
+                break
+            coefficients = spark.createDataFrame([(*g, *trial[g]) for g in moving], schema)
+            for sums in _newton_sums(points, F.broadcast(coefficients), keys).collect():
+                g = tuple(sums[k] for k in keys)
+                a, b, loss = best[g]
+                here = sums["loss"] + ridge * sums["b"] ** 2 / 2.0
+                if here > loss + 1e-12 * abs(loss):
+                    trial[g] = ((a + sums["a"]) / 2.0, (b + sums["b"]) / 2.0)
+                else:
+                    best[g] = (sums["a"], sums["b"], here)
+                    step = _newton_step(sums, ridge)
+                    trial[g] = (sums["a"] + step[0], sums["b"] + step[1])
+                if max(abs(trial[g][0] - best[g][0]), abs(trial[g][1] - best[g][1])) < tolerance:
+                    moving.discard(g)
+    finally:
+        points.unpersist()
+    fitted = T.StructType(
+        [points.schema[k] for k in keys] + [T.StructField("intercept", T.DoubleType()), T.StructField("slope", T.DoubleType())]
+    )
+    return spark.createDataFrame([(*g, *best[g][:2]) for g in groups], fitted).select(*by, "intercept", "slope")
+
+
+def _newton_sums(points: DataFrame, coefficients: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Loss, gradient and curvature of every group at its trial coefficients."""
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__f_{k}"))
+    line = F.col("__a") + F.col("__b") * F.col("__x")
+    at = points.join(coefficients, condition).withColumn("__line", line)
+    at = at.withColumn("__mu", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__line"))))
+    at = at.withColumn("__w", F.col("__mu") * (F.lit(1.0) - F.col("__mu")))
+    rest = F.col("__t") - F.col("__mu")
+    softplus = F.greatest(F.col("__line"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("__line")))
+    return at.groupBy(*keys).agg(
+        F.max("__a").alias("a"),
+        F.max("__b").alias("b"),
+        F.sum(softplus - F.col("__t") * F.col("__line")).alias("loss"),
+        F.sum(rest).alias("g0"),
+        F.sum(rest * F.col("__x")).alias("g1"),
+        F.sum("__w").alias("h00"),
+        F.sum(F.col("__w") * F.col("__x")).alias("h01"),
+        F.sum(F.col("__w") * F.col("__x") * F.col("__x")).alias("h11"),
+    )
 
 
 def calibration_line(
@@ -230,7 +270,6 @@ def calibration_line(
     by: Sequence[str] = (),
     eps: float = 1e-6,
     ridge: float = 1.0,
-    iterations: int = 12,
 ) -> DataFrame:
     """Calibration intercept and slope: logistic fit of the label on logit(p); null if one class."""
     by = list(by)
@@ -238,7 +277,7 @@ def calibration_line(
     rows = scored if by else scored.withColumn("__all", F.lit(0))
     bounded = F.least(F.greatest(F.col(p), F.lit(eps)), F.lit(1.0 - eps))
     logits = rows.withColumn("__logit", F.log(bounded / (F.lit(1.0) - bounded)))
-    line = logistic_line(logits, "__logit", y, keys, ridge, iterations)
+    line = logistic_line(logits, "__logit", y, keys, ridge)
     classes = rows.groupBy(*keys).agg((F.min(y) < F.max(y)).alias("__both"))
     named = classes.select(*[F.col(k).alias(f"__c_{k}") for k in keys], "__both")
     condition = F.lit(True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 HEAVY_SHARE = 1 / 512
 
@@ -18,11 +18,20 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    """Spark's automatic broadcast limit in bytes (-1 when switched off)."""
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark's own size rule will broadcast ``df``."""
-    spark = df.sparkSession
-    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return planned_bytes(df) <= int(limit)
+    return planned_bytes(df) <= broadcast_limit(df.sparkSession)
+
+
+def measured_size(df: DataFrame, key: str, fixed: int = 64) -> int:
+    """Bytes of a (key, few fixed-width columns) table, counted."""
+    width = F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) + F.lit(fixed)
+    return int(df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0])
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
@@ -41,6 +50,7 @@ def many_to_one(
     key: str,
     how: str = "inner",
     share: float = HEAVY_SHARE,
+    measured_bytes: int | None = None,
 ) -> DataFrame:
     """Join ``many`` to ``one`` (unique on ``key``), safe when a key holds a large part of ``many``.
 
@@ -48,11 +58,16 @@ def many_to_one(
     are found first: their rows of ``one`` number at most 1/share and are broadcast, so
     the heavy rows of ``many`` are not shuffled at all, and the remaining rows go through
     an ordinary shuffle join with no heavy key left in it.
+
+    Catalyst multiplies sizes over joins, which overstates a ``one`` that was itself
+    joined together; a caller that has measured it passes ``measured_bytes``.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"join type must be inner or left, not {how!r}")
     if fits_broadcast(one):
         return many.join(one, key, how)
+    if measured_bytes is not None and measured_bytes <= broadcast_limit(many.sparkSession):
+        return many.join(F.broadcast(one), key, how)
     heavy = heavy_keys(many, key, share)
     if not heavy:
         return many.join(one, key, how)

@@ -100,7 +100,7 @@ LEARNERS: Mapping[str, Learner] = {
 
 
 def fit_sigmoid(
-    held_out: DataFrame, by: Sequence[str], label: str = "y", margin: str = "margin", iterations: int = 25
+    held_out: DataFrame, by: Sequence[str], label: str = "y", margin: str = "margin"
 ) -> DataFrame:
     """(by..., intercept, slope): sigmoid calibrators of all groups fitted together.
 
@@ -115,7 +115,7 @@ def fit_sigmoid(
         F.lit(1.0) / (F.col("__n_neg") + 2.0)
     )
     rows = held_out.join(sizes, list(by)).select(*by, F.col(margin).alias("__m"), target.alias("__target"))
-    return logistic_line(rows, "__m", "__target", by, 0.0, iterations)
+    return logistic_line(rows, "__m", "__target", by)
 
 
 def recalibrated(

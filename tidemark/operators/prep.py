@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidemark.operators.ranks import exact_quantiles
+from tidemark.operators.ranks import SMALL_GROUP, exact_quantiles
 
 
 def model_frame(
@@ -109,8 +109,20 @@ class Preprocessor:
 
 
 def column_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """(feature, probability, quantile) of many columns in one go; nulls are left out."""
-    return exact_quantiles(to_long(df, features), ["feature"], "value", probabilities)
+    """(feature, probability, quantile) of many columns in one go; nulls are left out.
+
+    A frame of few rows takes one pass over all columns; a large one goes through buckets.
+    """
+    if df.count() > SMALL_GROUP:
+        return exact_quantiles(to_long(df, features), ["feature"], "value", probabilities)
+    asked = [float(q) for q in probabilities]
+    wide = df.agg(*[F.percentile(F.col(c).cast("double"), asked).alias(c) for c in features])
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(q).alias("probability"), F.get(F.col(c), F.lit(i)).alias("quantile"))
+        for c in features
+        for i, q in enumerate(asked)
+    ])
+    return wide.select(F.inline(cells)).where(F.col("quantile").isNotNull())
 
 
 def impute(feature: str, centre: float) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BUCKETS = 256
 HASH_DIGITS = 3
+SMALL_GROUP = 200_000
 _EDGE_GROUPS = 2048
 _ONE = "__all"
 
@@ -108,20 +109,33 @@ def _place(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFr
     return placed.drop("__edges", *[f"__r_{k}" for k in by])
 
 
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group (of the whole table without ``by``)."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    return sizes.agg(F.coalesce(F.max("__n"), F.lit(0))).first()[0]
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
     value: str,
     totals: Sequence[str],
     buckets: int = BUCKETS,
+    small: int = SMALL_GROUP,
 ) -> DataFrame:
     """For each row, ``<total>_before``: sum of ``total`` over rows of its group with a smaller value.
 
-    ``value`` must be unique inside a group: aggregate ties first.
+    ``value`` must be unique inside a group: aggregate ties first. Groups are counted; if
+    none exceeds ``small`` rows a plain window does, otherwise buckets are used.
     """
     by = list(by)
     grouped = df if by else df.withColumn(_ONE, F.lit(0))
     keys = by or [_ONE]
+    if largest_group(df, by) <= small:
+        lower = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return grouped.select(*df.columns, *[
+            F.coalesce(F.sum(t).over(lower), F.lit(0)).alias(f"{t}_before") for t in totals
+        ])
     placed = _place(grouped, keys if by else [], value, buckets)
     sizes = placed.groupBy(*keys, "__bucket").agg(*[F.sum(t).alias(t) for t in totals])
     below = _offsets(sizes, keys, "__bucket", totals)
@@ -143,17 +157,27 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     buckets: int = BUCKETS,
+    small: int = SMALL_GROUP,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: one row (by..., probability, quantile).
 
-    Nulls are left out. Bucket sizes tell which buckets hold the wanted order statistics;
-    only the rows of those buckets are shuffled, as distinct values with counts.
+    Nulls are left out. Groups are counted; if none exceeds ``small`` rows the built-in
+    exact percentile does. It holds a whole group in memory, so larger groups are put into
+    buckets: bucket sizes tell which buckets hold the wanted order statistics, and only
+    the rows of those are shuffled, as distinct values with counts.
     """
     by = list(by)
     keys = by or [_ONE]
     base = df.where(F.col(value).isNotNull()).select(
         *([F.col(k) for k in by] or [F.lit(0).alias(_ONE)]), F.col(value).cast("double").alias("__v")
     )
+    if largest_group(base, keys) <= small:
+        asked = [float(q) for q in probabilities]
+        at_once = base.groupBy(*keys).agg(F.percentile("__v", asked).alias("__q"))
+        pairs = F.arrays_zip(
+            F.array(*[F.lit(q) for q in asked]).alias("probability"), F.col("__q").alias("quantile")
+        )
+        return at_once.select(*by, F.inline(pairs).alias("probability", "quantile"))
     placed = _place(base, keys if by else [], "__v", buckets)
     sizes = placed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__filled"))
     group = Window.partitionBy(*keys)

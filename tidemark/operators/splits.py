@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.operators.joins import many_to_one
+from tidemark.operators.joins import many_to_one, measured_size
 from tidemark.operators.ranks import hash_rank
+from tidemark.session import materialise
 
 
 class GroupLeak(ValueError):
@@ -33,9 +34,15 @@ def stratified_folds(
     return ranked.withColumn(name, ((F.col("__position") - 1) % F.lit(folds)).cast("int")).drop("__position")
 
 
-def group_folds(
-    df: DataFrame, group: str, label: str, seed: int, folds: int = 5, name: str = "fold"
-) -> DataFrame:
+def group_sizes(df: DataFrame, group: str, label: str) -> DataFrame:
+    """Positives and rows per group, computed once: everything after it reads this table only."""
+    return materialise(df.groupBy(group).agg(
+        F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("__pos"),
+        F.count(F.lit(1)).alias("__rows"),
+    ))
+
+
+def _deal(groups: DataFrame, group: str, seed: int, folds: int, name: str) -> DataFrame:
     """(group, fold): groups ranked by (positives, rows, seeded hash), dealt round-robin.
 
     The rank is global but the groups are never sorted as a whole. Groups are counted per
@@ -43,10 +50,6 @@ def group_folds(
     its offset, and hash buckets give the rank inside it. n rows have fewer than sqrt(2n)
     different group sizes, so both running counts stay small.
     """
-    groups = df.groupBy(group).agg(
-        F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("__pos"),
-        F.count(F.lit(1)).alias("__rows"),
-    )
     strata = groups.groupBy("__pos", "__rows").agg(F.count(F.lit(1)).alias("__groups"))
     earlier = (Window.unboundedPreceding, -1)
     by_size = Window.partitionBy("__pos").orderBy("__rows").rowsBetween(*earlier)
@@ -66,11 +69,20 @@ def group_folds(
     return ranked.join(offsets, stratum).select(group, (place % F.lit(folds)).cast("int").alias(name))
 
 
+def group_folds(
+    df: DataFrame, group: str, label: str, seed: int, folds: int = 5, name: str = "fold"
+) -> DataFrame:
+    """(group, fold): whole groups spread over folds with even sizes and label rates."""
+    return _deal(group_sizes(df, group, label), group, seed, folds, name)
+
+
 def with_group_folds(
     df: DataFrame, group: str, label: str, seed: int, folds: int = 5, name: str = "fold"
 ) -> DataFrame:
     """Rows with the fold of their group."""
-    return many_to_one(df, group_folds(df, group, label, seed, folds, name), group)
+    groups = group_sizes(df, group, label)
+    dealt = _deal(groups, group, seed, folds, name)
+    return many_to_one(df, dealt, group, measured_bytes=measured_size(groups, group))
 
 
 def group_holdout(

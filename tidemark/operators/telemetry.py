@@ -4,49 +4,68 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.operators.joins import many_to_one
 
-# Name of each total and where it lives in a task-end event.
+# Name of each total and the paths of its parts in a task-end event.
 TASK_TOTALS = {
-    "executor_run_ms": ["$['Task Metrics']['Executor Run Time']"],
-    "executor_cpu_ns": ["$['Task Metrics']['Executor CPU Time']"],
-    "jvm_gc_ms": ["$['Task Metrics']['JVM GC Time']"],
-    "memory_spill_bytes": ["$['Task Metrics']['Memory Bytes Spilled']"],
-    "disk_spill_bytes": ["$['Task Metrics']['Disk Bytes Spilled']"],
-    "shuffle_read_bytes": [
-        "$['Task Metrics']['Shuffle Read Metrics']['Remote Bytes Read']",
-        "$['Task Metrics']['Shuffle Read Metrics']['Local Bytes Read']",
-    ],
-    "shuffle_write_bytes": ["$['Task Metrics']['Shuffle Write Metrics']['Shuffle Bytes Written']"],
-    "input_bytes": ["$['Task Metrics']['Input Metrics']['Bytes Read']"],
-    "output_bytes": ["$['Task Metrics']['Output Metrics']['Bytes Written']"],
+    "executor_run_ms": ["Executor Run Time"],
+    "executor_cpu_ns": ["Executor CPU Time"],
+    "jvm_gc_ms": ["JVM GC Time"],
+    "memory_spill_bytes": ["Memory Bytes Spilled"],
+    "disk_spill_bytes": ["Disk Bytes Spilled"],
+    "shuffle_read_bytes": ["Shuffle Read Metrics.Remote Bytes Read", "Shuffle Read Metrics.Local Bytes Read"],
+    "shuffle_write_bytes": ["Shuffle Write Metrics.Shuffle Bytes Written"],
+    "input_bytes": ["Input Metrics.Bytes Read"],
+    "output_bytes": ["Output Metrics.Bytes Written"],
 }
 TASK_END = "SparkListenerTaskEnd"
+_BROKEN = "_broken"
+
+
+def _event_schema() -> T.StructType:
+    """The parts of a log line that are read, plus the text of lines that do not parse."""
+    flat, nested = [], {}
+    for path in (part for parts in TASK_TOTALS.values() for part in parts):
+        head, _, leaf = path.partition(".")
+        if leaf:
+            nested.setdefault(head, []).append(T.StructField(leaf, T.LongType()))
+        else:
+            flat.append(T.StructField(head, T.LongType()))
+    metrics = T.StructType(flat + [T.StructField(k, T.StructType(v)) for k, v in nested.items()])
+    return T.StructType([
+        T.StructField("Event", T.StringType()),
+        T.StructField("Task End Reason", T.StructType([T.StructField("Reason", T.StringType())])),
+        T.StructField("Task Metrics", metrics),
+        T.StructField(_BROKEN, T.StringType()),
+    ])
 
 
 def task_rows(lines: DataFrame, run: str = "run_id", text: str = "value") -> DataFrame:
     """Task-end events as typed columns; malformed lines and other events are skipped.
 
-    The cheap substring test runs before any JSON is parsed.
+    A cheap substring test runs before any JSON is parsed. The parsed line is unpacked by a
+    generator, below which no filter is pushed, so each line is parsed once.
     """
-    body = F.col(text)
-    ends = lines.where(F.contains(body, F.lit(TASK_END))).where(
-        F.get_json_object(body, "$.Event") == F.lit(TASK_END)
-    )
+    ends = lines.where(F.contains(F.col(text), F.lit(TASK_END)))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    parsed = ends.select(run, F.inline(F.array(F.from_json(F.col(text), _event_schema(), options))))
+    tasks = parsed.where(F.col(_BROKEN).isNull() & (F.col("Event") == F.lit(TASK_END)))
 
     def number(paths: Sequence[str]) -> Column:
-        parts = [F.coalesce(F.get_json_object(body, path).try_cast("long"), F.lit(0)) for path in paths]
-        total = parts[0]
-        for part in parts[1:]:
-            total = total + part
-        return total.cast("long")
-
-    reason = F.get_json_object(body, "$['Task End Reason']['Reason']")
-    return ends.select(
+        total: Column | None = None
+        for path in paths:
+            value = F.col("Task Metrics")
+            for name in path.split("."):
+                value = value[name]
+            value = F.coalesce(value, F.lit(0).cast("long"))
+            total = value if total is None else total + value
+        return total
+
+    return tasks.select(
         run,
-        F.when(reason == F.lit("Success"), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("failed"),
+        F.when(F.col("Task End Reason")["Reason"] == F.lit("Success"), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("failed"),
         *[number(paths).alias(name) for name, paths in TASK_TOTALS.items()],
     )
 

@@ -15,13 +15,11 @@ from tidemark.operators.prep import Preprocessor, mutual_information
 from tidemark.operators.reports import group_summary
 from tidemark.operators.splits import (
     assert_groups_disjoint,
-    group_folds,
     group_holdout,
     stratified_folds,
     stratified_holdout,
     with_group_folds,
 )
-from tidemark.operators.joins import many_to_one
 from tidemark.session import materialise
 
 
@@ -129,8 +127,9 @@ def grouped_holdout_scores(frame: DataFrame, settings: ValidationSettings, repea
 
 def grouped_cv_scores(frame: DataFrame, settings: ValidationSettings) -> DataFrame:
     """Group-disjoint cross-validation with recalibrated models."""
-    dealt = group_folds(frame, settings.group, settings.label, settings.seed, settings.folds)
-    assigned = materialise(many_to_one(frame, dealt, settings.group))
+    assigned = materialise(
+        with_group_folds(frame, settings.group, settings.label, settings.seed, settings.folds)
+    )
 
     def splits():
         for k in range(settings.folds):

@@ -12,6 +12,7 @@ CLUSTER_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
