@@ -15,3 +15,8 @@ def rows(df, *keys):
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def formatted_plan(df):
+    """Node details are not cut short here."""
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
