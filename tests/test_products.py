@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.clinic import write_clinic
 from tests.helpers import formatted_plan, rows
+from tidemark.operators import totals
 from tidemark.plans.products import PRODUCTS, ProductSettings, feature_product
 from tidemark.sources import runlog, sinks
 from tidemark.sources.tables import (
@@ -99,6 +100,14 @@ def test_products_do_not_change_without_broadcast(tables, without_broadcast):
         assert df.dropDuplicates(["hadm_id", "window_idx"] if name == "timeseries" else ["hadm_id"]).count() == df.count()
 
 
+def test_heavy_entities_get_the_same_medians(tables, monkeypatch):
+    expected = {n: rows(feature_product(n, tables), "hadm_id") for n in ("wide", "early_window")}
+    monkeypatch.setattr(totals, "SKETCH_FAN_IN", 0)
+    for name, wanted in expected.items():
+        assert rows(feature_product(name, tables), "hadm_id") == wanted
+        assert feature_product(name, tables).columns == list(wanted[0])
+
+
 def test_unknown_names_raise(spark, tables, folder):
     with pytest.raises(ValueError):
         feature_product("compcat", tables)

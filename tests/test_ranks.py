@@ -1,6 +1,7 @@
 """Bucketed ranks, running totals and quantiles against single-machine results, also under skew."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -64,6 +65,16 @@ def test_exact_quantiles(spark, small):
     assert len(out) == 4 * len(asked)
 
 
+def test_discrete_quantiles(spark):
+    groups = {"hot": skewed_values(), "one": [3.5], "two": [1.0, 2.0], "five": [5.0, 1.0, 4.0, 2.0, 3.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    asked = [0.0, 0.2, 0.5, 0.9, 1.0]
+    out = {(r["g"], r["probability"]): r["quantile"] for r in exact_quantiles(df, ["g"], "v", asked, 16, interpolate=False).collect()}
+    for g, values in groups.items():
+        for q in asked:
+            assert out[(g, q)] == sorted(values)[max(0, math.ceil(q * len(values)) - 1)], (g, q)
+
+
 @pytest.mark.parametrize("small", [0, 10_000])
 def test_exact_quantiles_of_a_whole_table(spark, small):
     values = skewed_values()

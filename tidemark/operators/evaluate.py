@@ -69,9 +69,7 @@ def threshold_counts(
     that threshold, and the totals of the group."""
     tied = _tied(scored, y, p, by)
     run = running_totals(tied, by, "threshold", ["pos", "neg"])
-    sums = scored.groupBy(*by).agg(
-        F.count_if(F.col(y) == 1).alias("all_pos"), F.count_if(F.col(y) != 1).alias("all_neg")
-    )
+    sums = tied.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     if by:
         renamed = sums.select(*[F.col(c).alias(f"__g_{c}") for c in by], "all_pos", "all_neg")
         condition = F.lit(True)

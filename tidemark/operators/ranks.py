@@ -13,9 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BUCKETS = 256
+MOST_BUCKETS = 4096
+ROWS_PER_BUCKET = 2_000_000
 HASH_DIGITS = 3
 SMALL_GROUP = 200_000
-_EDGE_GROUPS = 2048
+_MOST_EDGES = 1_000_000
 _ONE = "__all"
 
 
@@ -73,16 +75,18 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 def _place(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFrame:
     """Add ``__bucket``: how many bucket edges lie strictly below ``value``.
 
-    The edges are approximate quantiles, read once and used as constants, so every branch
-    of a plan and every retried task sees the same ones. Their accuracy decides only how
-    even the buckets are, never a result.
+    The edges are approximate quantiles of each group (of the whole table when there are
+    too many groups), read once and used as constants, so every branch of a plan and every
+    retried task sees the same ones. Their accuracy decides only how even the buckets are,
+    never a result.
     """
     by = list(by)
     probabilities = [i / buckets for i in range(1, buckets)]
     sketch = F.percentile_approx(F.col(value).cast("double"), probabilities, 8 * buckets).alias("__edges")
     spark = df.sparkSession
-    found = df.groupBy(*by).agg(sketch).limit(_EDGE_GROUPS + 1).collect()
-    if len(found) > _EDGE_GROUPS:
+    most_groups = _MOST_EDGES // buckets
+    found = df.groupBy(*by).agg(sketch).limit(most_groups + 1).collect()
+    if len(found) > most_groups:
         by, found = [], df.agg(sketch).collect()
     steps = []
     reach = 1
@@ -115,12 +119,16 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     return sizes.agg(F.coalesce(F.max("__n"), F.lit(0))).first()[0]
 
 
+def _bucket_count(rows: int) -> int:
+    return min(MOST_BUCKETS, max(BUCKETS, rows // ROWS_PER_BUCKET))
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
     value: str,
     totals: Sequence[str],
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     small: int = SMALL_GROUP,
 ) -> DataFrame:
     """For each row, ``<total>_before``: sum of ``total`` over rows of its group with a smaller value.
@@ -131,12 +139,13 @@ def running_totals(
     by = list(by)
     grouped = df if by else df.withColumn(_ONE, F.lit(0))
     keys = by or [_ONE]
-    if largest_group(df, by) <= small:
+    largest = largest_group(df, by)
+    if largest <= small:
         lower = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return grouped.select(*df.columns, *[
             F.coalesce(F.sum(t).over(lower), F.lit(0)).alias(f"{t}_before") for t in totals
         ])
-    placed = _place(grouped, keys if by else [], value, buckets)
+    placed = _place(grouped, keys if by else [], value, buckets or _bucket_count(largest))
     sizes = placed.groupBy(*keys, "__bucket").agg(*[F.sum(t).alias(t) for t in totals])
     below = _offsets(sizes, keys, "__bucket", totals)
     earlier = (
@@ -156,12 +165,14 @@ def exact_quantiles(
     by: Sequence[str],
     value: str,
     probabilities: Sequence[float],
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     small: int = SMALL_GROUP,
+    interpolate: bool = True,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles: one row (by..., probability, quantile).
+    """Exact quantiles: one row (by..., probability, quantile).
 
-    Nulls are left out. Groups are counted; if none exceeds ``small`` rows the built-in
+    Linearly interpolated, or else the smallest value that at least the asked share of the
+    rows does not exceed. Nulls are left out. Groups are counted; if none exceeds ``small`` rows the built-in
     exact percentile does. It holds a whole group in memory, so larger groups are put into
     buckets: bucket sizes tell which buckets hold the wanted order statistics, and only
     the rows of those are shuffled, as distinct values with counts.
@@ -171,21 +182,24 @@ def exact_quantiles(
     base = df.where(F.col(value).isNotNull()).select(
         *([F.col(k) for k in by] or [F.lit(0).alias(_ONE)]), F.col(value).cast("double").alias("__v")
     )
-    if largest_group(base, keys) <= small:
+    largest = largest_group(base, keys)
+    if largest <= small and interpolate:
         asked = [float(q) for q in probabilities]
         at_once = base.groupBy(*keys).agg(F.percentile("__v", asked).alias("__q"))
         pairs = F.arrays_zip(
             F.array(*[F.lit(q) for q in asked]).alias("probability"), F.col("__q").alias("quantile")
         )
         return at_once.select(*by, F.inline(pairs).alias("probability", "quantile"))
-    placed = _place(base, keys if by else [], "__v", buckets)
+    placed = _place(base, keys if by else [], "__v", buckets or _bucket_count(largest))
     sizes = placed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__filled"))
     group = Window.partitionBy(*keys)
     spans = _join_null_safe(sizes, _offsets(sizes, keys, "__bucket", ["__filled"]), [*keys, "__bucket"]).withColumn(
         "__total", F.sum("__filled").over(group)
     )
     wanted = spans.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-    wanted = wanted.withColumn("__at", F.col("probability") * (F.col("__total") - F.lit(1)))
+    between = F.col("probability") * (F.col("__total") - F.lit(1))
+    lowest = F.greatest(F.ceil(F.col("probability") * F.col("__total")) - F.lit(1), F.lit(0)).cast("double")
+    wanted = wanted.withColumn("__at", between if interpolate else lowest)
     wanted = wanted.withColumn("__index", F.explode(F.array(F.floor("__at"), F.ceil("__at"))))
     wanted = wanted.withColumn("__offset", F.col("__index") - F.col("__below___filled")).where(
         (F.col("__offset") >= 0) & (F.col("__offset") < F.col("__filled"))

@@ -26,6 +26,7 @@ from tidemark.operators.align import (
 from tidemark.operators.codes import CodeBook, normalise_events
 from tidemark.operators.joins import many_to_one
 from tidemark.operators.reference import eligible_start, envelope, first_start, stay_summary
+from tidemark.operators.totals import entity_measures
 
 ENTITY = "hadm_id"
 SPINE_COLUMNS = ["hadm_id", "subject_id", "mortality_label", "age", "gender_male"]
@@ -94,12 +95,19 @@ def _abnormal_count(settings: ProductSettings) -> Column:
 
 def lab_summary(labs: DataFrame, settings: ProductSettings, wide: bool = False) -> DataFrame:
     """Mean, std, count and abnormal count per entity; ``wide`` adds min, max and median."""
-    names = ["mean", "std", "count"]
-    columns = [MEASURES[m](F.col("valuenum")).alias(f"lab_value_{m}") for m in names]
-    columns.append(_abnormal_count(settings))
-    if wide:
-        columns += [MEASURES[m](F.col("valuenum")).alias(f"lab_value_{m}") for m in ("min", "max", "median")]
-    return labs.where(F.col("valuenum").isNotNull()).groupBy(ENTITY).agg(*columns)
+    known = labs.where(F.col("valuenum").isNotNull())
+    summary = known.groupBy(ENTITY).agg(
+        *[MEASURES[m](F.col("valuenum")).alias(f"lab_value_{m}") for m in ("mean", "std", "count")],
+        _abnormal_count(settings),
+    )
+    if not wide:
+        return summary
+    all_labs = known.select(
+        ENTITY, "flag", F.col("valuenum"), F.lit("lab_value").alias("feature"), F.col("valuenum").cast("double").alias("value")
+    )
+    return entity_measures(
+        all_labs, ENTITY, ["lab_value"], ["mean", "std", "count", "min", "max", "median"], [_abnormal_count(settings)], labs
+    ).select(*summary.columns, "lab_value_min", "lab_value_max", "lab_value_median")
 
 
 def lab_utilisation(placed: DataFrame, settings: ProductSettings) -> DataFrame:
@@ -148,9 +156,9 @@ def wide_features(tables: CohortTables, settings: ProductSettings = ProductSetti
     per_feature = len(settings.mean_hours)
     for i, f in enumerate(features):
         timed[f] = [*means[i * per_feature:(i + 1) * per_feature], slopes[i]]
-    vitals = placed.groupBy(ENTITY).agg(
-        *feature_measures(features, ["mean", "count", "min", "max", "std", "median"]),
-        *[column for f in features for column in timed[f]],
+    vitals = entity_measures(
+        placed, ENTITY, features, ["mean", "count", "min", "max", "std", "median"],
+        [column for f in features for column in timed[f]], tables.events,
     )
     matrix = _with_context(
         entity_spine(tables, settings), stay_summary(tables.stays), vitals,
@@ -184,10 +192,12 @@ def early_window_features(tables: CohortTables, settings: ProductSettings = Prod
     inside ``eligible_start``.
     """
     cohort = eligible_start(tables.stays, settings.early_min_hours)
-    vitals = within_first_hours(
+    early = within_first_hours(
         on_entity_clock(_normalised(tables, settings), cohort, ENTITY), settings.early_hours
-    ).groupBy(ENTITY).agg(
-        *feature_measures(settings.book.features, ["mean", "min", "max", "std", "median", "count"])
+    )
+    vitals = entity_measures(
+        early, ENTITY, settings.book.features, ["mean", "min", "max", "std", "median", "count"],
+        source=tables.events,
     )
     drawn = tables.labs.select(ENTITY, "charttime", "valuenum", "flag").where(F.col("valuenum").isNotNull())
     labs = lab_utilisation(
