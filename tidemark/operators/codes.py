@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidemark.session import small_frame
+
 _INLINE_CODES = 64
 
 
@@ -87,7 +89,7 @@ class CodeBook:
         for e in self.entries:
             low, high = self.ranges.get(e.feature, (None, None))
             rows.append((e.code, e.feature, float(e.offset), float(e.scale), low, high))
-        return spark.createDataFrame(rows, schema)
+        return small_frame(spark, rows, schema)
 
 
 def normalise_events(

@@ -13,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tidemark.operators.ranks import exact_quantiles, running_totals
+from tidemark.session import small_frame
 
 
 def _ratio(top: Column, bottom: Column, empty: float | None) -> Column:
@@ -217,7 +218,7 @@ def logistic_line(
         for _ in range(iterations):
             if not moving:
                 break
-            coefficients = spark.createDataFrame([(*g, *trial[g]) for g in moving], schema)
+            coefficients = small_frame(spark, [(*g, *trial[g]) for g in moving], schema)
             for sums in _newton_sums(points, F.broadcast(coefficients), keys).collect():
                 g = tuple(sums[k] for k in keys)
                 a, b, loss = best[g]
@@ -235,7 +236,7 @@ def logistic_line(
     fitted = T.StructType(
         [points.schema[k] for k in keys] + [T.StructField("intercept", T.DoubleType()), T.StructField("slope", T.DoubleType())]
     )
-    return spark.createDataFrame([(*g, *best[g][:2]) for g in groups], fitted).select(*by, "intercept", "slope")
+    return small_frame(spark, [(*g, *best[g][:2]) for g in groups], fitted).select(*by, "intercept", "slope")
 
 
 def _newton_sums(points: DataFrame, coefficients: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.operators.evaluate import logistic_line
 from tidemark.operators.splits import with_balanced_weights
+from tidemark.session import small_frame
 
 
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -42,9 +43,8 @@ class FittedModel:
         """(feature, importance), highest first; names line up with the columns read."""
         values = self.model.featureImportances.toArray()
         rows = [(f, float(v)) for f, v in zip(self.features, values)]
-        return spark.createDataFrame(rows, "feature string, importance double").orderBy(
-            F.desc("importance"), "feature"
-        )
+        schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())])
+        return small_frame(spark, rows, schema).orderBy(F.desc("importance"), "feature")
 
 
 def probability_of_margin(margin: Column) -> Column:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.operators.ranks import SMALL_GROUP, exact_quantiles
+from tidemark.session import small_frame
 
 
 def model_frame(
@@ -100,9 +101,11 @@ class Preprocessor:
 
     def as_frame(self, spark) -> DataFrame:
         """The fitted numbers, one row per column."""
-        return spark.createDataFrame([vars(c) for c in self.columns], (
-            "feature string, median double, clip_low double, clip_high double, mean double, std double"
-        ))
+        numbers = ["median", "clip_low", "clip_high", "mean", "std"]
+        schema = T.StructType(
+            [T.StructField("feature", T.StringType())] + [T.StructField(n, T.DoubleType()) for n in numbers]
+        )
+        return small_frame(spark, [(c.feature, *[getattr(c, n) for n in numbers]) for c in self.columns], schema)
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         return df.select(*keep, *[c.apply(self.scale) for c in self.columns])

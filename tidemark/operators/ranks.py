@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tidemark.session import small_frame
+
 BUCKETS = 256
 MOST_BUCKETS = 4096
 ROWS_PER_BUCKET = 2_000_000
@@ -83,7 +85,6 @@ def _place(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFr
     by = list(by)
     probabilities = [i / buckets for i in range(1, buckets)]
     sketch = F.percentile_approx(F.col(value).cast("double"), probabilities, 8 * buckets).alias("__edges")
-    spark = df.sparkSession
     most_groups = _MOST_EDGES // buckets
     found = df.groupBy(*by).agg(sketch).limit(most_groups + 1).collect()
     if len(found) > most_groups:
@@ -98,7 +99,7 @@ def _place(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFr
         [T.StructField(f"__r_{k}", df.schema[k].dataType) for k in by]
         + [T.StructField("__edges", T.ArrayType(T.DoubleType(), False))]
     )
-    edges = F.broadcast(spark.createDataFrame(rows, schema))
+    edges = F.broadcast(small_frame(df.sparkSession, rows, schema))
     condition = F.lit(True)
     for k in by:
         condition = condition & F.col(k).eqNullSafe(F.col(f"__r_{k}"))

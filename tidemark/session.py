@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CLUSTER_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,6 +41,12 @@ def build_session(
     return builder.getOrCreate()
 
 
+def small_frame(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType) -> DataFrame:
+    """A few driver-built rows as a local relation: no job and no Python worker reads it."""
+    records = [dict(zip(schema.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once for many readers.
 
