@@ -217,9 +217,8 @@ SCALED = CLIPPED + ", moments AS (SELECT " + ", ".join(
 
 def _median_impute(spark, d) -> DataFrame:
     rows = sparse_frame(spark, d)
-    mids = column_quantiles(rows.where("is_train"), COLUMNS, [0.5]).collect()
-    centre = {row["feature"]: row["quantile"] for row in mids}
-    return rows.select("c_custkey", *[impute(c, centre[c]) for c in COLUMNS])
+    centre = column_quantiles(rows.where("is_train"), COLUMNS, [0.5])
+    return rows.select("c_custkey", *[impute(c, centre[c][0]) for c in COLUMNS])
 
 
 def _quantile_clip(spark, d) -> DataFrame:
@@ -365,21 +364,27 @@ def quality_scores(spark, d) -> DataFrame:
     return joined.select(F.col("lang").alias("model"), F.col("quality").alias("y"), p.alias("p"))
 
 
+def _quality(spark, d) -> DataFrame:
+    rows = quality_scores(spark, d)
+    counts = ev.confusion_metrics(rows, by=BY).select("model", "tn", "fp", "fn", "tp")
+    return counts.join(ev.brier_metrics(rows, by=BY), "model").join(ev.ranking_metrics(rows, by=BY), "model")
+
+
 add(
     "length_score_quality",
-    lambda spark, d: present(
-        ev.confusion_metrics(quality_scores(spark, d)).select("tn", "fp", "fn", "tp").crossJoin(
-            ev.brier_metrics(quality_scores(spark, d)).crossJoin(ev.ranking_metrics(quality_scores(spark, d)))  # one row each
-        )
-    ),
-    f"""WITH scored AS (SELECT quality AS y, n_chars / (n_chars + CAST(800 AS DOUBLE)) AS p FROM labels JOIN documents USING (doc_id)),
-    ranked AS (SELECT y, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / CAST(2 AS DOUBLE) AS rk FROM scored),
-    tied AS (SELECT p, sum(y) AS pos, count(*) AS n FROM scored GROUP BY p),
-    steps AS (SELECT pos, CAST(sum(pos) OVER w AS DOUBLE) AS tp, CAST(sum(n) OVER w AS DOUBLE) AS said FROM tied WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
-    sums AS (SELECT sum(CASE WHEN y = 1 THEN rk END) AS rs, CAST(sum(y) AS DOUBLE) AS np, CAST(sum(1 - y) AS DOUBLE) AS nn FROM ranked)
-    SELECT count(CASE WHEN p < 0.5 AND y = 0 THEN 1 END) AS tn, count(CASE WHEN p >= 0.5 AND y = 0 THEN 1 END) AS fp,
+    lambda spark, d: present(_quality(spark, d)),
+    f"""WITH scored AS (SELECT lang AS model, quality AS y, n_chars / (n_chars + CAST(800 AS DOUBLE)) AS p FROM labels JOIN documents USING (doc_id)),
+    ranked AS (SELECT model, y, p, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / CAST(2 AS DOUBLE) AS rk FROM scored),
+    tied AS (SELECT model, p, sum(y) AS pos, count(*) AS n FROM scored GROUP BY model, p),
+    steps AS (SELECT model, pos, CAST(sum(pos) OVER w AS DOUBLE) AS tp, CAST(sum(n) OVER w AS DOUBLE) AS said FROM tied
+              WINDOW w AS (PARTITION BY model ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
+    areas AS (SELECT model, sum(CASE WHEN y = 1 THEN rk END) AS rs, CAST(sum(y) AS DOUBLE) AS np, CAST(sum(1 - y) AS DOUBLE) AS nn FROM ranked GROUP BY model),
+    gains AS (SELECT model, sum(pos * tp / said) AS gain FROM steps GROUP BY model),
+    parts AS (SELECT model, count(CASE WHEN p < 0.5 AND y = 0 THEN 1 END) AS tn, count(CASE WHEN p >= 0.5 AND y = 0 THEN 1 END) AS fp,
       count(CASE WHEN p < 0.5 AND y = 1 THEN 1 END) AS fn, count(CASE WHEN p >= 0.5 AND y = 1 THEN 1 END) AS tp,
-      {r('avg((p - y) * (p - y))', 'brier_score')}, {r('1 - avg((p - y) * (p - y)) / (avg(y) * (1 - avg(y)))', 'brier_skill_score')},
-      {r('(SELECT (rs - np * (np + 1) / 2) / (np * nn) FROM sums)', 'auroc')},
-      {r('(SELECT sum(pos * tp / said) FROM steps) / sum(y)', 'auprc')} FROM scored""",
+      avg((p - y) * (p - y)) AS bs, avg(y) * (1 - avg(y)) AS chance FROM scored GROUP BY model)
+    SELECT model, tn, fp, fn, tp, {r('bs', 'brier_score')}, {r('1 - bs / nullif(chance, 0)', 'brier_skill_score')},
+      {r('CASE WHEN np > 0 AND nn > 0 THEN (rs - np * (np + 1) / 2) / (np * nn) END', 'auroc')},
+      {r('CASE WHEN np > 0 AND nn > 0 THEN gain / np END', 'auprc')}
+    FROM parts JOIN areas USING (model) JOIN gains USING (model)""",
 )

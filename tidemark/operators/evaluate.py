@@ -78,7 +78,8 @@ def threshold_counts(
             condition = condition & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
         joined = run.join(renamed, condition).drop(*[f"__g_{c}" for c in by])
     else:
-        joined = run.crossJoin(F.broadcast(sums))  # one row of totals
+        whole = sums.first()
+        joined = run.select("*", *[F.lit(whole[c] or 0).cast("long").alias(c) for c in ("all_pos", "all_neg")])
     return joined.select(
         *by,
         "threshold",

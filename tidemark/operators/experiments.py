@@ -10,6 +10,9 @@ from tidemark.functions.tdist import critical_value, two_sided_p
 from tidemark.operators.ranks import exact_quantiles, seeded_hash
 
 
+MOST_LEVELS = 1000
+
+
 class GateFailed(ValueError):
     """A run table does not meet a completeness rule."""
 
@@ -20,13 +23,18 @@ class GateFailed(ValueError):
 def run_cells(workloads: DataFrame, scenarios: DataFrame, blocks: DataFrame) -> DataFrame:
     """Every workload with every scenario in every block.
 
-    This is the full factorial design itself; all three factors are short lists of
-    levels, so two of them are broadcast once their level counts have been checked.
+    The factors of a design are short lists of levels, so two of them become constants
+    that each block row is expanded by; a factor too long for that is refused.
     """
+    cells = blocks
     for factor in (workloads, scenarios):
-        if factor.limit(10_001).count() > 10_000:
-            raise ValueError("a factor of a factorial design has more than 10,000 levels")
-    return blocks.crossJoin(F.broadcast(workloads)).crossJoin(F.broadcast(scenarios))
+        name = factor.columns[0]
+        levels = [row[0] for row in factor.limit(MOST_LEVELS + 1).collect()]
+        if len(levels) > MOST_LEVELS:
+            raise ValueError(f"factor {name} has more than {MOST_LEVELS} levels")
+        kind = factor.schema[name].dataType
+        cells = cells.withColumn(name, F.explode(F.array(*[F.lit(level).cast(kind) for level in levels])))
+    return cells
 
 
 def block_schedule(cells: DataFrame, seed: int, block: str = "block", ids: Sequence[str] = ("workload", "scenario")) -> DataFrame:
@@ -243,12 +251,16 @@ def speedup_efficiency(
 
     The baseline is named, and efficiency divides by the capacity relative to it.
     """
-    base = summary.where(F.col(scenario) == F.lit(baseline)).agg(
-        F.max(mean).alias("__base"), F.max(cores).alias("__base_cores")
+    named = F.col(scenario) == F.lit(baseline)
+    whole = Window.partitionBy(F.lit(0))  # one row per scenario
+    based = summary.select(
+        "*",
+        F.max(F.when(named, F.col(mean))).over(whole).alias("__base"),
+        F.max(F.when(named, F.col(cores))).over(whole).alias("__base_cores"),
     )
     speed = F.col("__base") / F.col(mean)
     efficiency = speed / (F.col(cores) / F.col("__base_cores"))
     rounded = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
-    return summary.crossJoin(F.broadcast(base)).select(  # one baseline row
+    return based.select(
         *summary.columns, rounded(speed).alias("speedup"), rounded(efficiency).alias("efficiency")
     )

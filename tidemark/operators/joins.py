@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 HEAVY_SHARE = 1 / 512
 
@@ -38,10 +38,15 @@ def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
     """Every key holding more than ``share`` of the rows; never more than 1/share keys.
 
     One pass over the key column with a frequent-items sketch. The sketch may name keys
-    that are not heavy, which costs nothing but their place in the list.
+    that are not heavy, which costs nothing but their place in the list. Null is a key here.
     """
-    found = df.where(F.col(key).isNotNull()).stat.freqItems([key], share).first()[0]
-    return [k for k in (found or []) if k is not None]
+    return list(df.stat.freqItems([key], share).first()[0] or [])
+
+
+def is_one_of(key: str, keys: Sequence) -> Column:
+    """Membership test that never is null and takes null as a key."""
+    member = F.coalesce(F.col(key).isin([k for k in keys if k is not None]), F.lit(False))
+    return member | F.col(key).isNull() if None in keys else member
 
 
 def many_to_one(
@@ -71,7 +76,8 @@ def many_to_one(
     heavy = heavy_keys(many, key, share)
     if not heavy:
         return many.join(one, key, how)
-    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    # Rows with a null key match nothing; a left join keeps them, without shuffling them together.
+    is_heavy = is_one_of(key, heavy)
     near = many.where(is_heavy).join(F.broadcast(one.where(is_heavy)), key, how)
     far = many.where(~is_heavy).join(one.where(~is_heavy), key, how)
     return near.unionByName(far)

@@ -80,13 +80,10 @@ class Preprocessor:
 
         What reaches the driver is a few numbers per column.
         """
-        centre = {r["feature"]: r["quantile"] for r in column_quantiles(train, features, [0.5]).collect()}
+        centre = {f: q[0] for f, q in column_quantiles(train, features, [0.5]).items()}
         kept = [f for f in features if f in centre]
         filled = train.select(*[impute(f, centre[f]) for f in kept])
-        cuts: dict[str, list[float]] = {}
-        for row in column_quantiles(filled, kept, list(clip)).collect():
-            cuts.setdefault(row["feature"], []).append(row["quantile"])
-        bounds = {f: (min(c), max(c)) for f, c in cuts.items()}
+        bounds = column_quantiles(filled, kept, clip)
         clipped = filled.select(*[clip_to(f, *bounds[f]) for f in kept])
         moments = clipped.agg(*[
             part for f in kept for part in (F.avg(f).alias(f"{f}__m"), F.stddev_pop(f).alias(f"{f}__s"))
@@ -111,21 +108,21 @@ class Preprocessor:
         return df.select(*keep, *[c.apply(self.scale) for c in self.columns])
 
 
-def column_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """(feature, probability, quantile) of many columns in one go; nulls are left out.
+def column_quantiles(
+    df: DataFrame, features: Sequence[str], probabilities: Sequence[float]
+) -> dict[str, list[float]]:
+    """Exact quantiles of many columns; nulls are left out, columns without values are absent.
 
     A frame of few rows takes one pass over all columns; a large one goes through buckets.
     """
-    if df.count() > SMALL_GROUP:
-        return exact_quantiles(to_long(df, features), ["feature"], "value", probabilities)
     asked = [float(q) for q in probabilities]
-    wide = df.agg(*[F.percentile(F.col(c).cast("double"), asked).alias(c) for c in features])
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(q).alias("probability"), F.get(F.col(c), F.lit(i)).alias("quantile"))
-        for c in features
-        for i, q in enumerate(asked)
-    ])
-    return wide.select(F.inline(cells)).where(F.col("quantile").isNotNull())
+    if df.count() <= SMALL_GROUP:
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), asked).alias(c) for c in features]).first()
+        return {c: list(row[c]) for c in features if row[c] is not None}
+    found: dict[str, dict[float, float]] = {}
+    for row in exact_quantiles(to_long(df, features), ["feature"], "value", asked, small=0).collect():
+        found.setdefault(row["feature"], {})[row["probability"]] = row["quantile"]
+    return {c: [found[c][q] for q in asked] for c in features if c in found}
 
 
 def impute(feature: str, centre: float) -> Column:

@@ -94,6 +94,16 @@ def _place(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFr
     while reach < buckets:
         steps.insert(0, reach)
         reach *= 2
+    number = F.col(value).cast("double")
+
+    def climb(position: Column, step: Column) -> Column:
+        probe = position + step
+        return F.when(F.get(F.col("__edges"), probe - F.lit(1)) < number, probe).otherwise(position)
+
+    search = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), climb)
+    if not by:
+        constant = F.lit(sorted(set(found[0]["__edges"] or []))).cast("array<double>")
+        return df.withColumn("__edges", constant).withColumn("__bucket", search).drop("__edges")
     rows = [(*[row[k] for k in by], sorted(set(row["__edges"] or []))) for row in found]
     schema = T.StructType(
         [T.StructField(f"__r_{k}", df.schema[k].dataType) for k in by]
@@ -103,13 +113,6 @@ def _place(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFr
     condition = F.lit(True)
     for k in by:
         condition = condition & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    number = F.col(value).cast("double")
-
-    def climb(position: Column, step: Column) -> Column:
-        probe = position + step
-        return F.when(F.get(F.col("__edges"), probe - F.lit(1)) < number, probe).otherwise(position)
-
-    search = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), climb)
     placed = df.join(edges, condition).withColumn("__bucket", search)
     return placed.drop("__edges", *[f"__r_{k}" for k in by])
 

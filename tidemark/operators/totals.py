@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.measures import feature_measures
-from tidemark.operators.joins import heavy_keys, planned_bytes
+from tidemark.operators.joins import heavy_keys, is_one_of, planned_bytes
 from tidemark.operators.ranks import exact_quantiles
 
 SKETCH_FAN_IN = 2000
@@ -41,7 +41,7 @@ def entity_measures(
     heavy = heavy_keys(events, key)
     if not heavy:
         return events.groupBy(key).agg(*columns)
-    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    is_heavy = is_one_of(key, heavy)
     far = events.where(~is_heavy).groupBy(key).agg(*columns)
     hot = events.where(is_heavy)
     plain = hot.groupBy(key).agg(*feature_measures(features, [m for m in measures if m != "median"]), *extra)
@@ -49,5 +49,6 @@ def entity_measures(
     wide = middle.groupBy(key).agg(*[
         F.max(F.when(F.col("feature") == f, F.col("quantile"))).alias(f"{f}_median") for f in features
     ])
-    near = plain.join(F.broadcast(wide), key, "left")  # at most one row per heavy key
+    named = wide.withColumnRenamed(key, "__key")
+    near = plain.join(F.broadcast(named), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
     return far.unionByName(near)
