@@ -18,6 +18,12 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """Size of the tables that ``df`` reads; unlike ``planned_bytes`` it is not blurred by joins."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """Spark's automatic broadcast limit in bytes (-1 when switched off)."""
     return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())

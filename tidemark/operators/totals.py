@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.measures import feature_measures
-from tidemark.operators.joins import heavy_keys, is_one_of, planned_bytes
+from tidemark.operators.joins import heavy_keys, is_one_of, scanned_bytes
 from tidemark.operators.ranks import exact_quantiles
 
 SKETCH_FAN_IN = 2000
@@ -16,7 +16,7 @@ SKETCH_FAN_IN = 2000
 def many_tasks(df: DataFrame) -> bool:
     """Whether scanning ``df`` takes more tasks than one reducer should merge sketches from."""
     split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return planned_bytes(df) > SKETCH_FAN_IN * int(split)
+    return scanned_bytes(df) > SKETCH_FAN_IN * int(split)
 
 
 def entity_measures(
@@ -25,18 +25,16 @@ def entity_measures(
     features: Sequence[str],
     measures: Sequence[str],
     extra: Sequence[Column] = (),
-    source: DataFrame | None = None,
 ) -> DataFrame:
     """``<feature>_<measure>`` and ``extra`` aggregates, one row per ``key``.
 
     All measures but the median combine into a few numbers per task. A median combines
     into a sketch, and an entity that is present in very many tasks would bring one sketch
     from each of them to a single reducer. On inputs of that size the few heavy entities
-    get their medians from the bucketed exact quantile instead. ``source`` is the scanned
-    table when ``events`` has been joined since, which blurs Catalyst's size estimate.
+    get their medians from the bucketed exact quantile instead.
     """
     columns = [*feature_measures(features, measures), *extra]
-    if "median" not in measures or not many_tasks(events if source is None else source):
+    if "median" not in measures or not many_tasks(events):
         return events.groupBy(key).agg(*columns)
     heavy = heavy_keys(events, key)
     if not heavy:

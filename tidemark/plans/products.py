@@ -106,7 +106,7 @@ def lab_summary(labs: DataFrame, settings: ProductSettings, wide: bool = False)
         ENTITY, "flag", F.col("valuenum"), F.lit("lab_value").alias("feature"), F.col("valuenum").cast("double").alias("value")
     )
     return entity_measures(
-        all_labs, ENTITY, ["lab_value"], ["mean", "std", "count", "min", "max", "median"], [_abnormal_count(settings)], labs
+        all_labs, ENTITY, ["lab_value"], ["mean", "std", "count", "min", "max", "median"], [_abnormal_count(settings)]
     ).select(*summary.columns, "lab_value_min", "lab_value_max", "lab_value_median")
 
 
@@ -158,7 +158,7 @@ def wide_features(tables: CohortTables, settings: ProductSettings = ProductSetti
         timed[f] = [*means[i * per_feature:(i + 1) * per_feature], slopes[i]]
     vitals = entity_measures(
         placed, ENTITY, features, ["mean", "count", "min", "max", "std", "median"],
-        [column for f in features for column in timed[f]], tables.events,
+        [column for f in features for column in timed[f]],
     )
     matrix = _with_context(
         entity_spine(tables, settings), stay_summary(tables.stays), vitals,
@@ -196,8 +196,7 @@ def early_window_features(tables: CohortTables, settings: ProductSettings = Prod
         on_entity_clock(_normalised(tables, settings), cohort, ENTITY), settings.early_hours
     )
     vitals = entity_measures(
-        early, ENTITY, settings.book.features, ["mean", "min", "max", "std", "median", "count"],
-        source=tables.events,
+        early, ENTITY, settings.book.features, ["mean", "min", "max", "std", "median", "count"]
     )
     drawn = tables.labs.select(ENTITY, "charttime", "valuenum", "flag").where(F.col("valuenum").isNotNull())
     labs = lab_utilisation(
