@@ -72,3 +72,16 @@ def unfolded(df: DataFrame, copies: str, index: str) -> DataFrame:
         .withColumn(index, F.explode(inner))
         .drop("_list", copies)
     )
+
+
+def in_batches(df: DataFrame, rows: int = 2000, size: str = "8m") -> DataFrame:
+    """``df``, with Arrow batches bounded in rows and bytes, since texts may be very long."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
+def id_and_text(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Only the id and the text (null: empty), whatever other columns ``docs`` has."""
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
