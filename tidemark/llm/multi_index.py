@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tidemark.llm.blocks import Index, searched, usable
 
 # Centroids of each half; the index has their square of cells.
-CENTROIDS = 16
+CENTROIDS = 32
 # The centroids are fitted on about this many rows, drawn by a hash of the id.
 SAMPLE_ROWS = 8192
 # A query reranks the entries of the nearest cells until it has this share of a block.
-SHARE = 0.35
+SHARE = 0.6
 Halves = tuple[np.ndarray, np.ndarray]
 
 
