@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.common import running_starts, unfolded
+from tidemark.llm.common import BROADCAST_ROWS, running_starts, unfolded
+from tidemark.session import small_frame
 
 # 2**31 - 1, a prime: products of two residues stay below 2**62.
 PRIME = 2_147_483_647
@@ -22,8 +23,8 @@ class Permutation:
     ``size`` with fewer than ``left`` numbers to spare. Each round adds a keyed cubic
     polynomial (modulo a prime) of one digit to the other. A number that lands outside is
     permuted again until it is inside (cycle walking). Walks run through spare numbers
-    only, of which there are about the square root of ``size``; following all of them
-    once gives the exact number of repetitions that any walk can take.
+    only, of which there are about the square root of ``size``, so the end of the walk from
+    each of them is computed once, ahead of the rows.
     """
 
     def __init__(self, size: int, seed: int = 42, rounds: int = ROUNDS):
@@ -34,7 +35,6 @@ class Permutation:
         self.right = max(1, -(-size // self.left))
         draw = random.Random(f"{seed}-{rounds}")
         self.keys = [[draw.randrange(1, PRIME) for _ in range(TERMS)] for _ in range(rounds)]
-        self.walks = self._longest_walk()
 
     def once(self, numbers: np.ndarray) -> np.ndarray:
         """One pass over numbers of the whole radix range."""
@@ -53,21 +53,28 @@ class Permutation:
             found[outside] = self.once(found[outside])
         return found
 
-    def _longest_walk(self) -> int:
-        outside, steps = np.arange(self.size, self.left * self.right, dtype=np.int64), 0
-        while len(outside):
-            outside = self.once(outside)
-            outside = outside[outside >= self.size]
-            steps += 1
-        return steps
+    def spares(self) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers outside and where a walk from each of them ends; about a square root of ``size``."""
+        if not self.size:
+            # Without numbers inside no walk ends, and there is none to begin.
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        outside = np.arange(self.size, self.left * self.right, dtype=np.int64)
+        return outside, self.apply(outside)
 
     def columns(self, df: DataFrame, number: str, name: str) -> DataFrame:
-        """Adds the permuted ``number`` as ``name``, from built-in expressions only."""
+        """Adds the permuted ``number`` as ``name``, from built-in expressions and a join on the walks.
+
+        One pass leaves few numbers outside; where each of those ends is looked up.
+        """
         df = self._once(df.withColumn(name, F.col(number)), name)
-        for _ in range(self.walks):
-            df = self._once(df.withColumn("_was", F.col(name)), name)
-            df = df.withColumn(name, F.when(F.col("_was") < self.size, F.col("_was")).otherwise(F.col(name))).drop("_was")
-        return df
+        outside, ends = self.spares()
+        if not len(outside):
+            return df
+        schema = T.StructType([T.StructField(name, T.LongType()), T.StructField("_end", T.LongType())])
+        walks = small_frame(df.sparkSession, zip(outside.tolist(), ends.tolist()), schema)
+        # A hint only within the usual bound; beyond it, adaptive execution chooses.
+        walks = F.broadcast(walks) if len(outside) <= BROADCAST_ROWS else walks
+        return df.join(walks, name, "left").withColumn(name, F.coalesce("_end", name)).drop("_end")
 
     def _once(self, df: DataFrame, name: str) -> DataFrame:
         df = df.withColumns({
