@@ -3,12 +3,13 @@
 import json
 import math
 import random
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import rows
-from tidemark.functions.tdist import critical_value, two_sided_p
+from tidemark.functions.tdist import critical_value, log_two_sided_p, two_sided_p
 from tidemark.operators import experiments as ex
 from tidemark.operators import reports
 from tidemark.operators.telemetry import resource_alignment, resource_summary, telemetry_rollup
@@ -51,6 +52,40 @@ def test_t_distribution_reference_points(spark):
     assert found[0] == 1.0 and found[1] is None and found[2] is None and found[3] == pytest.approx(0.5)
 
 
+def exact_log_p(t: float, df: int) -> float:
+    """For an even df the distribution is a finite sum, taken here with 420 digits."""
+    with localcontext() as context:
+        context.prec = 420
+        t = Decimal(t)
+        shrink, term, total = 1 / (1 + t * t / df), Decimal(1), Decimal(0)
+        for k in range(df // 2):
+            total += term
+            term = term * shrink * (2 * k + 1) / (2 * k + 2)
+        return float((1 - t / (df + t * t).sqrt() * total).ln())
+
+
+def test_t_distribution_large_statistics_and_degrees(spark):
+    cases = [(df, t) for df in (2, 120, 400, 10_000) for t in (0.1, 2.0, 8.0, 15.0, 40.0)]
+    frame = spark.createDataFrame(cases, "v long, t double")
+    for r in frame.select("v", "t", log_two_sided_p(F.col("t"), F.col("v")).alias("p")).collect():
+        assert r["p"] == pytest.approx(exact_log_p(r["t"], r["v"]), rel=1e-11)
+    # One degree is an arc tangent; with very many the normal distribution's next term is known.
+    cauchy = spark.createDataFrame([(t,) for t in (0.1, 2.0, 40.0, 1e200)], "t double")
+    for r in cauchy.select("t", log_two_sided_p(F.col("t"), F.lit(1)).alias("p")).collect():
+        assert r["p"] == pytest.approx(math.log(2 / math.pi * math.atan(1 / r["t"])), rel=1e-12)
+    for df in (10**6, 10**8):
+        near = spark.range(1).select(two_sided_p(F.lit(2.0), F.lit(df))).first()[0]
+        normal = math.exp(-2) / math.sqrt(2 * math.pi)
+        assert near == pytest.approx(math.erfc(math.sqrt(2)) + 2 * normal * (8 + 2) / (4 * df), rel=1e-10)
+    found = spark.range(1).select(
+        critical_value(F.lit(1_500_000)), critical_value(F.lit(1), 0.999999), two_sided_p(F.lit(math.inf), F.lit(7))
+    ).first()
+    assert found[0] == pytest.approx(1.9599655660, rel=1e-9)
+    assert found[1] == pytest.approx(1 / math.tan(math.pi / 2 * 1e-6), rel=1e-8) and found[2] == 0.0
+    with pytest.raises(ValueError):
+        critical_value(F.lit(3), 1.0)
+
+
 def runs(spark):
     rng = random.Random(1)
     data = [
