@@ -427,7 +427,10 @@ add(
              ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || '.5' END AS valuenum
       FROM lineitem) t WHERE TRY_CAST(hadm_id AS BIGINT) IS NOT NULL""",
 )
-AUDITED = ["customer", "orders", "lineitem", "events", "documents"]
+AUDITED = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+]
 add(
     "source_audit",
     lambda spark, d: source_audit({name: table(spark, d, name) for name in AUDITED}),

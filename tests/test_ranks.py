@@ -119,3 +119,10 @@ def test_one_to_one(spark):
         one_to_one(a, b, "k")
     assert one_to_one(a, b.limit(1), "k").count() == 1
     assert_unique(a, ["k"])
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_exact_quantiles_with_infinities(spark, small):
+    df = spark.createDataFrame([(1.0,), (math.inf,), (math.inf,)], "v double")
+    out = {r["probability"]: r["quantile"] for r in exact_quantiles(df, [], "v", [0.0, 0.25, 0.9], 4, small).collect()}
+    assert out == {0.0: 1.0, 0.25: math.inf, 0.9: math.inf}

@@ -201,6 +201,20 @@ def test_telemetry_skips_broken_and_foreign_lines(spark):
     }
 
 
+def test_telemetry_counts_every_well_formed_event(spark):
+    def line(metrics):
+        return json.dumps({"Event": "SparkListenerTaskEnd", "Task End Reason": {"Reason": "Success"}, "Task Metrics": metrics})
+
+    lines = [
+        line({"Executor Run Time": 5.5, "JVM GC Time": 4}), line(None), line({"Executor Run Time": "soon", "JVM GC Time": 2}),
+        line({"Executor CPU Time": 2**53 - 1}), line({"Executor CPU Time": 2**53 - 1}), line({"Shuffle Read Metrics": 3, "JVM GC Time": 1}),
+        line({"Executor Run Time": 5.5})[:-1],
+    ]
+    out = telemetry_rollup(spark.createDataFrame([("r", x) for x in lines], "run_id string, value string")).first()
+    assert (out["tasks"], out["failed_tasks"]) == (6, 0)
+    assert (out["executor_run_ms"], out["jvm_gc_ms"], out["executor_cpu_ns"]) == (5, 7, 2**54 - 2)
+
+
 def test_resource_alignment(spark):
     data = [("a", 100.0, 1.0, 2.0, 3.0, 4.0), ("a", 160.0, 3.0, 2.0, 3.0, None), ("b", 500.0, 5.0, 2.0, 0.0, 0.0)]
     df = spark.createDataFrame(data, "source string, timestamp double, cpu_percent double, memory_percent double, disk_read_mb_s double, disk_write_mb_s double")

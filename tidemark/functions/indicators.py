@@ -39,14 +39,16 @@ def is_abnormal(flag: str, normal: str = "normal", trim_both: bool = False) -> C
 def with_missing_flags(
     df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Append ``<column>_missing`` (1.0/0.0) for ``columns``, or for all non-key columns."""
+    """Append ``<column>_missing`` (1.0/0.0) for ``columns``, or for all non-key columns.
+
+    A name that ``df`` does not have raises.
+    """
     if columns is None:
         columns = [c for c in df.columns if c not in keys and not c.endswith("_missing")]
-    flags = [
-        F.when(F.col(c).isNull(), F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"{c}_missing")
-        for c in columns
-        if c in df.columns
-    ]
+    unknown = [c for c in columns if c not in df.columns]
+    if unknown:
+        raise ValueError(f"no such columns: {unknown}")
+    flags = [F.when(F.col(c).isNull(), F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"{c}_missing") for c in columns]
     return df.select("*", *flags)
 
 

@@ -219,5 +219,7 @@ def exact_quantiles(
     )
     share = F.max("__at") - F.floor(F.max("__at"))
     low, high = F.min("__v"), F.max("__v")
-    result = found.groupBy(*keys, "probability").agg((low + (high - low) * share).alias("quantile"))
+    # Between two equal infinities there is no difference to take a share of.
+    between = F.when(low == high, low).otherwise(low + (high - low) * share)
+    result = found.groupBy(*keys, "probability").agg(between.alias("quantile"))
     return result.select(*by, "probability", "quantile")

@@ -30,9 +30,9 @@ def _event_schema() -> T.StructType:
     for path in (part for parts in TASK_TOTALS.values() for part in parts):
         head, _, leaf = path.partition(".")
         if leaf:
-            nested.setdefault(head, []).append(T.StructField(leaf, T.LongType()))
+            nested.setdefault(head, []).append(T.StructField(leaf, T.DoubleType()))
         else:
-            flat.append(T.StructField(head, T.LongType()))
+            flat.append(T.StructField(head, T.DoubleType()))
     metrics = T.StructType(flat + [T.StructField(k, T.StructType(v)) for k, v in nested.items()])
     return T.StructType([
         T.StructField("Event", T.StringType()),
@@ -45,13 +45,17 @@ def _event_schema() -> T.StructType:
 def task_rows(lines: DataFrame, run: str = "run_id", text: str = "value") -> DataFrame:
     """Task-end events as typed columns; malformed lines and other events are skipped.
 
-    A cheap substring test runs before any JSON is parsed. The parsed line is unpacked by a
+    A well-formed event counts whatever its metrics are: a fractional one with its whole
+    part, one that is missing or no number with 0. A value is read as a double, which is
+    exact up to 2**53; sums are exact. A cheap substring test runs before any JSON is parsed. The parsed line is unpacked by a
     generator, below which no filter is pushed, so each line is parsed once.
     """
     ends = lines.where(F.contains(F.col(text), F.lit(TASK_END)))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
     parsed = ends.select(run, F.inline(F.array(F.from_json(F.col(text), _event_schema(), options))))
-    tasks = parsed.where(F.col(_BROKEN).isNull() & (F.col("Event") == F.lit(TASK_END)))
+    # A line is also kept as broken where only a field does not fit its type.
+    well_formed = F.col(_BROKEN).isNull() | F.try_parse_json(F.col(_BROKEN)).isNotNull()
+    tasks = parsed.where(well_formed & (F.col("Event") == F.lit(TASK_END)))
 
     def number(paths: Sequence[str]) -> Column:
         total: Column | None = None
@@ -59,7 +63,7 @@ def task_rows(lines: DataFrame, run: str = "run_id", text: str = "value") -> Dat
             value = F.col("Task Metrics")
             for name in path.split("."):
                 value = value[name]
-            value = F.coalesce(value, F.lit(0).cast("long"))
+            value = F.coalesce(value.try_cast("long"), F.lit(0).cast("long"))
             total = value if total is None else total + value
         return total
 

@@ -19,7 +19,8 @@ def write_matrix(
     """Write a feature matrix, overwriting; returns the output paths.
 
     The partitions of the plan are kept. ``files`` merges them into fewer output files,
-    which also lowers the parallelism of the last stage.
+    which also lowers the parallelism of the last stage. With both formats the plan runs
+    once: the CSV is made from the Parquet just written.
     """
     unknown = set(formats) - {"parquet", "csv"}
     if unknown:
@@ -29,6 +30,8 @@ def write_matrix(
     if "parquet" in formats:
         paths["parquet"] = f"{folder}/feature_matrix{suffix}.parquet"
         out.write.mode("overwrite").parquet(paths["parquet"])
+        written = df.sparkSession.read.parquet(paths["parquet"])
+        out = written if files is None else written.coalesce(files)
     if "csv" in formats:
         paths["csv_dir"] = f"{folder}/feature_matrix{suffix}_csv"
         out.write.mode("overwrite").option("header", True).csv(paths["csv_dir"])
