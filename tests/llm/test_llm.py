@@ -124,6 +124,54 @@ def test_links_find_the_components_of_all_pairs(spark):
     assert found == group
 
 
+def five_word_sets(texts):
+    cut = [(t or "").encode().lower().split() for t in texts]
+    return [{b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in cut]
+
+
+def smallest_of_components(ids, texts):
+    sets = five_word_sets(texts)
+    group = list(ids)
+    alike = [
+        (a, b) for a in range(len(ids)) for b in range(a)
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ]
+    while any(group[a] != group[b] for a, b in alike):
+        for a, b in alike:
+            group[a] = group[b] = min(group[a], group[b])
+    return sorted(set(group))
+
+
+def test_near_copies_of_five_words_are_dropped(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kept = corpus_pipeline.dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = sorted(r["doc_id"] for r in kept.collect())
+    assert found == smallest_of_components(list(texts), list(texts.values()))
+    assert 177 not in found and 145 not in found and 1 in found and 6 in found
+
+
+def test_large_groups_of_near_copies_and_chains(spark):
+    draw = random.Random(11)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    base, texts = [word() for _ in range(120)], []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(draw.randrange(1, 5)):
+            copy[draw.randrange(120)] = word()
+        texts.append(" ".join(copy))
+    for _ in range(40):
+        base[draw.randrange(120)] = word()
+        texts.append(" ".join(base))
+    texts += [" ".join(word() for _ in range(60)) for _ in range(30)] + ["", None, "  "]
+    ids = list(range(len(texts)))
+    draw.shuffle(ids)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    found = sorted(r["doc_id"] for r in simhash.deduplicated(docs, width=5, similarity=0.8).collect())
+    assert found == smallest_of_components(ids, texts)
+
+
 def test_secrets(docs, none, rows):
     found = {r["doc_id"]: r for r in secret_scan.secret_spans(docs).collect()}
     texts = {i: t for i, t, *_ in rows}

@@ -9,29 +9,40 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import checkpointed, id_and_text, in_batches
+from tidemark.llm.common import checkpointed, id_and_text, in_batches, small_or_not, text_or_empty
 
 BITS = 64
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
+# Minima of the shingle values under 160 mixings, in bands of five, find candidates for a Jaccard similarity.
+BANDS, BAND_ROWS = 32, 5
+_draw = np.random.Generator(np.random.PCG64(SEED))
+MIX_XOR, MIX_TIMES = _draw.integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64, endpoint=False)
+MIX_TIMES = MIX_TIMES | np.uint64(1)
+KEYS = ("row_id", "text_key", "row_key")
 
 
-def fingerprint(text: str, width: int = SHINGLE) -> int:
-    """Bits that over half of the shingles' XXH64 values have set; 0 without words."""
+def shingle_values(text: str, width: int) -> np.ndarray:
+    """XXH64 of every run of ``width`` words; of all words if there are fewer; empty without words."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
     line = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(words) - width + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    values = np.fromiter(
+    return np.fromiter(
         (digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())), np.uint64, len(starts)
     )
+
+
+def fingerprint(text: str, width: int = SHINGLE) -> int:
+    """Bits that over half of the shingles' XXH64 values have set; 0 without words."""
+    values = shingle_values(text, width)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(values), 16384):
         part = values[at : at + 16384].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -51,6 +62,17 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return in_batches(id_and_text(docs, id_column)).mapInArrow(hashed, "doc_id long, fp long")
 
 
+def _fingerprinted(rows: DataFrame, width: int) -> DataFrame:
+    """row_id, text_key, row_key and the fingerprint as node."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in KEYS], pa.array(values.view(np.int64))], [*KEYS, "node"])
+
+    return in_batches(rows).mapInArrow(hashed, "row_id long, text_key long, row_key long, node long")
+
+
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     """Masks of which at least one avoids any ``radius`` bits.
 
@@ -145,12 +167,145 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+def set_and_bands(text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle values in order, and one value per band of their minima."""
+    values = np.unique(shingle_values(text, width))
+    if not len(values):
+        return values, values
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(values), 4096):
+        mixed = (values[None, at : at + 4096] ^ MIX_XOR[:, None]) * MIX_TIMES[:, None]
+        np.minimum(least, mixed.min(axis=1), out=least)
+    bands = (least.reshape(BANDS, BAND_ROWS) * MIX_TIMES[:BAND_ROWS]).sum(axis=1, dtype=np.uint64)
+    return values, bands
+
+
+def _banded(rows: DataFrame, width: int) -> DataFrame:
+    """row_id, text_key, row_key, node (digest of the shingle set), n_shingles and bands of every row."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_and_bands(t, width) for t in batch.column("text").to_pylist()]
+            columns = [
+                *[batch.column(k) for k in KEYS],
+                pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v, _ in found], pa.binary()),
+                pa.array([len(v) for v, _ in found], pa.int32()),
+                pa.array([b.view(np.int64) for _, b in found], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [*KEYS, "node", "n_shingles", "bands"])
+
+    fields = "row_id long, text_key long, row_key long, node binary, n_shingles int, bands array<long>"
+    return in_batches(rows).mapInArrow(hashed, fields)
+
+
+def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """node and its distinct shingle values, for rows of node and text."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_values(t, width)).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return in_batches(rows).mapInArrow(hashed, "node binary, shingles array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have at least that Jaccard similarity."""
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("_su"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("_sv"))
+    both = pairs.join(left, "u").join(right, "v").withColumn("_common", F.size(F.array_intersect("_su", "_sv")))
+    whole = F.size("_su") + F.size("_sv") - F.col("_common")
+    return both.where(F.col("_common") / whole >= similarity).select("u", "v")
+
+
+def near_copy_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, root) of every node linked to another by shingle sets of Jaccard ``similarity`` or more.
 
-    Of repeated rows with that id one stays. Rows without an id cannot be told apart, so
-    they all stay.
+    ``nodes`` holds each shingle set once: node, n_shingles, bands, text_key; ``texts`` has
+    text_key and text. Sets that share a band value are candidates. A pair at similarity 0.8
+    shares none of the 32 bands of 5 minima with probability (1 - 0.8 ** 5) ** 32 < 4e-6.
+    Every link is checked on the sets themselves.
+
+    A large bucket is mostly one group of copies: a drawn member is compared with all others,
+    which leaves few pairs whose ends are not yet connected. When no more such pairs are left
+    than there are bucket members, or drawing has stopped to help, all of them are compared.
+    """
+    placed = nodes.select("node", "n_shingles", "text_key", F.posexplode("bands").alias("band", "value"))
+    buckets = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    members = checkpointed(placed.join(buckets, ["band", "value"]))
+    wanted = checkpointed(members.select("node", "text_key").distinct())
+    firsts = texts.join(small_or_not(wanted), "text_key").dropDuplicates(["node"]).select("node", "text")
+    sets = checkpointed(_shingle_sets(firsts, width))
+    rows, bucket = members.count(), ["band", "value"]
+    edges, open_before = None, None
+    while True:
+        if edges is None:
+            grouped = members.withColumn("root", F.col("node"))
+        else:
+            linked = components(edges)
+            grouped = members.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sizes = grouped.groupBy(*bucket, "root").agg(F.count(F.lit(1)).cast("double").alias("_n")).groupBy(*bucket).agg(
+            F.count(F.lit(1)).alias("_roots"), ((F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))) / 2).alias("_pairs")
+        )
+        sizes = checkpointed(sizes.where("_roots > 1").drop("_roots"))
+        open_pairs = sizes.agg(F.coalesce(F.sum("_pairs"), F.lit(0.0))).first()[0]
+        if open_pairs == 0:
+            break
+        unresolved = checkpointed(grouped.join(sizes.select(*bucket), bucket).drop("text_key"))
+        last = open_pairs <= rows or open_before is not None and open_pairs > 0.9 * open_before
+        other = unresolved
+        if not last:
+            drawn = F.min_by(F.struct("node", "n_shingles", "root"), F.xxhash64("node", F.lit(int(open_pairs)))).alias("_d")
+            other = unresolved.groupBy(*bucket).agg(drawn).select(*bucket, "_d.*")
+        other = other.select(*bucket, *[F.col(c).alias(f"_{c}") for c in ("node", "n_shingles", "root")])
+        apart = unresolved.join(other, bucket).where("root <> _root").where(
+            F.least("n_shingles", "_n_shingles") >= (similarity - 1e-9) * F.greatest("n_shingles", "_n_shingles")
+        )
+        pairs = apart.select(F.least("node", "_node").alias("u"), F.greatest("node", "_node").alias("v")).distinct()
+        new = _similar(pairs, sets, similarity)
+        edges = checkpointed(new if edges is None else edges.unionByName(new))
+        if last:
+            break
+        open_before = open_pairs
+    if edges is None:
+        return nodes.select("node", F.col("node").alias("root")).limit(0)
+    return components(edges)
+
+
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", width: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id, nulls last.
+
+    Without ``similarity`` components are those of ``near_duplicates`` (fingerprints within
+    two bits); with it, those of documents whose sets of ``width``-word shingles have at least
+    that Jaccard similarity. Rows with the same id, or none, are told apart by hashes of their
+    text and of all their columns; of equal rows one stays. Texts without words are alike.
     """
-    kept = near_duplicates(docs, id_column).where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
-    named = docs.join(kept, id_column, "left_semi").dropDuplicates([id_column])
-    return named.unionByName(docs.where(F.col(id_column).isNull()))
+    keys = [F.col(id_column).cast("long").alias("row_id"), F.xxhash64(text_or_empty()).alias("text_key"), F.xxhash64(*docs.columns).alias("row_key")]
+    rows = docs.select(*keys, text_or_empty().alias("text"))
+    if similarity is None:
+        found = checkpointed(_fingerprinted(rows, width))
+        nodes = checkpointed(found.select("node").distinct())
+        linked = components(links(nodes.withColumnRenamed("node", "fp")))
+    else:
+        found = checkpointed(_banded(rows, width))
+        nodes = checkpointed(found.groupBy("node").agg(
+            F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
+        ))
+        linked = near_copy_links(nodes, rows.select("text_key", "text"), width, similarity)
+    placed = found.select(*KEYS, "node").join(linked, "node", "left").select(F.coalesce("root", "node").alias("root"), *KEYS)
+    counted = checkpointed(placed.groupBy("root", *KEYS).agg(F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("row_id").isNull().alias("_none"), *KEYS)
+    first = counted.groupBy("root").agg(F.min(order).alias("_first")).select("root", "_first.*").drop("_none")
+    told = [counted.root == first.root, *[counted[k].eqNullSafe(first[k]) for k in KEYS]]
+    # Texts are not shuffled for rows that stay once: only rows to leave out and repeated ones are looked up.
+    dropped = counted.join(first, told, "left_anti").select(*KEYS)
+    again = counted.join(first, told, "left_semi").where("n > 1").select(*KEYS)
+    named = docs.select("*", *keys)
+    dropped, again = small_or_not(checkpointed(dropped.unionByName(again))), small_or_not(checkpointed(again))
+
+    def same(other: DataFrame) -> list[Column]:
+        return [named[k] == other[k] for k in ("row_key", "text_key")] + [named.row_id.eqNullSafe(other.row_id)]
+
+    once = named.join(dropped, same(dropped), "left_anti")
+    repeated = named.join(again, same(again), "left_semi").dropDuplicates(list(KEYS))
+    return once.unionByName(repeated).select(*docs.columns)
