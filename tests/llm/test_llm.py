@@ -188,6 +188,13 @@ def test_secrets(docs, none, rows):
     assert secret_scan.secret_spans(none).count() == 0
 
 
+def test_literals_that_base_values_cut_are_found_whole():
+    text = 'password = "hunter2!Xy9kkQ$z" # end'
+    assert secret_scan.joined(secret_scan.findings(text)) == "assign:0:19,literal:12:28"
+    assert secret_scan.redact(text) == 'password = "[REDACTED]" # end'
+    assert secret_scan.joined(secret_scan.findings('token = "abcdef123456"')) == "assign:0:21"
+
+
 def test_base_spans_equal_the_stated_patterns():
     draw = random.Random(5)
     parts = ["token", "API_key", "apikey", "secret", "Password", "=", ": ", " = ", '"', "'", "abcdef", "AKIA", "ABCDEFGH01234567", "0123456789abcdef", "ſecret", " "]

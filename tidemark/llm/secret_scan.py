@@ -97,9 +97,12 @@ def lexed_findings(text: str) -> list[Finding]:
 
 
 def findings(text: str) -> list[Finding]:
-    """Base findings, and lexed literals that no base finding overlaps; by start, then kind."""
+    """Base findings, and lexed literals that no base value contains; by start, then kind."""
     base = base_findings(text)
-    lexed = [x for x in lexed_findings(text) if not any(b.start < x.end and x.start < b.end for b in base)]
+    lexed = [
+        x for x in lexed_findings(text)
+        if not any(b.value_start <= x.value_start and x.value_end <= b.value_end for b in base)
+    ]
     return sorted(base + lexed)
 
 
