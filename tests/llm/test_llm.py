@@ -192,9 +192,31 @@ def test_literals_that_base_values_cut_are_found_whole():
     text = 'password = "hunter2!Xy9kkQ$z" # end'
     assert secret_scan.joined(secret_scan.findings(text)) == "assign:0:19,literal:12:28"
     assert secret_scan.redact(text) == 'password = "[REDACTED]" # end'
+    assert secret_scan.redact('secret: "aaaaaa!aa"') == 'secret: "[REDACTED]"'
     assert secret_scan.joined(secret_scan.findings('token = "abcdef123456"')) == "assign:0:21"
 
 
+@pytest.mark.parametrize("text", [
+    "DB_PWD=zX9qLm27Tr", "pwd: zX9qLm27Tr", "db.pwd = zX9qLm27Tr", "a: 1\n  - pwd: zX9qLm27Tr  # note\nb: 2",
+    "export DB_PWD=zX9qLm27Tr\r\n", 'password: str = "zX9q!Lm27Tr"', 'pwd: Optional[str] = "zX9qLm27Tr"',
+    'const pwd: string | null = "zX9qLm27Tr";', 'val pwd: String = "zX9qLm27Tr"', 'static PWD: &\'static str = "zX9qLm27Tr";',
+    'var pwd string = "zX9qLm27Tr"', 'pwd = b"zX9qLm27Tr"', "pwd = rb'zX9qLm27Tr'", 'pwd = r#"zX9qLm27Tr"#;',
+    'pwd = """zX9qLm27Tr"""', 'let pwd = `zX9qLm27Tr`', 'char pwd[] = "zX9qLm27Tr";', 'db_pwd' + " " * 200 + '= "zX9qLm27Tr"',
+    'KEY' + " " * 9 + '= "zX9qLm27Tr"\npwd = KEY', "DB_PWD=zX9q!Lm27Tr", "password=zX9qLm!27Tr",
+])
+def test_values_of_source_and_configuration_syntax(text):
+    secret = re.search("zX9q!?Lm!?27Tr", text).group()
+    assert secret_scan.redact(text) == text.replace(secret, "[REDACTED]")
+
+
+@pytest.mark.parametrize("text", [
+    "pwd = get_password()", "pwd = getPassword", "pwd: SecretStr", "pwd = self.pwd2", "DB_PWD=$OTHER_PWD1", "DB_PWD=${OTHER_PWD1}",
+    "pwd: zX9qLm27Tr is only named", 'pwd = f"{user1}{Other}"', "name: zX9qLm27Tr", "the pwd: see zX9qLm27Tr",
+])
+def test_names_and_prose_are_not_values(text):
+    assert secret_scan.findings(text) == []
+
+
 def test_base_spans_equal_the_stated_patterns():
     draw = random.Random(5)
     parts = ["token", "API_key", "apikey", "secret", "Password", "=", ": ", " = ", '"', "'", "abcdef", "AKIA", "ABCDEFGH01234567", "0123456789abcdef", "ſecret", " "]
