@@ -188,6 +188,16 @@ def test_secrets(docs, none, rows):
     assert secret_scan.secret_spans(none).count() == 0
 
 
+def test_clashing_and_missing_ids_keep_one_row_of_each_component(spark):
+    one, two, three = "one text of six plain words", "two other words stand here now", "three has no id at all here"
+    made = [(1, one, "a"), (1, two, "b"), (2, two, "c"), (None, three, "d"), (None, three, "e"), (None, one, "f"), (3, None, "g"), (3, None, "g")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    for options in ({}, {"width": 5, "similarity": 0.8}):
+        kept = sorted(simhash.deduplicated(docs, **options).collect(), key=lambda r: r["source"])
+        assert [r["source"] for r in kept if r["text"] != three] == ["a", "b", "g"]
+        assert [r["doc_id"] for r in kept if r["text"] == three] == [None]
+
+
 def test_literals_that_base_values_cut_are_found_whole():
     text = 'password = "hunter2!Xy9kkQ$z" # end'
     assert secret_scan.joined(secret_scan.findings(text)) == "assign:0:19,literal:12:28"
