@@ -337,6 +337,7 @@ def test_stages_keep_columns_and_the_pipeline_runs(spark, tmp_path):
         at.write.parquet(str(tmp_path / name))
         at = spark.read.parquet(str(tmp_path / name))
     languages, deduplicated = (spark.read.parquet(str(tmp_path / n)) for n in ("language_id", "simhash_dedup"))
-    assert deduplicated.count() == simhash.near_duplicates(languages).select("component_id").distinct().count()
+    left = [(r["doc_id"], r["text"]) for r in languages.collect()]
+    assert sorted(r["doc_id"] for r in deduplicated.collect()) == smallest_of_components(*zip(*left))
     assert corpus_pipeline.run(spark, source).count() == at.count()
-    assert len([n for n in QUERIES if n.startswith("op")]) == 10
+    assert len([n for n in QUERIES if n.startswith("op")]) == 13

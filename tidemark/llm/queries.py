@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tidemark.llm import language, mixing, mtree, multi_index, secret_scan, sharding, simhash, tokens, url_rules
+from tidemark.llm import (
+    language, mixing, mtree, multi_index, packing, periodic, secret_scan, sharding, simhash, spelling, tokens, url_rules,
+)
 
 RULES = [
     url_rules.Rule("allow", "org", "/"),
@@ -68,11 +70,49 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """About every tenth text with its words repeated from some word on; which ones the checksum of doc_id tells."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    marked = docs.select("doc_id", "text", F.when(h % 10 == 0, h.cast("long")).alias("h"))
+    words = F.when(F.col("h").isNotNull(), F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"))
+    split = marked.withColumn("words", words).withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10"))
+    placed = split.withColumn("a", F.expr("IF(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(words, (w, i) -> IF(i < a, w, get(words, CAST(a + (i - a) % p AS INT)))), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    strongest = F.expr(
+        """get(array_sort(runs, (r, s) -> CASE
+            WHEN r.length * s.period <> s.length * r.period THEN IF(r.length * s.period > s.length * r.period, -1, 1)
+            WHEN r.start <> s.start THEN IF(r.start < s.start, -1, 1)
+            ELSE CAST(sign(r.period - s.period) AS INT) END), 0)"""
+    )
+    lines = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    top = found.withColumn("top", strongest)
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), F.col("top.length").alias("length"),
+        F.col("top.period").alias("period"), F.expr("(1000 * top.length) div top.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), spoilt=97)
+    return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_sharding, op3_mixing, op4_exact_top, op5_token_counts, op6_language_id, op7_multi_index,
-        op8_bpe_round_trip, op9_url_filter, op10_simhash,
+        op8_bpe_round_trip, op9_url_filter, op10_simhash, op11_best_fit_packing, op12_periodic_runs, op13_spelling_variants,
     )
 } | {"pipeline": corpus_pipeline.run}
 
