@@ -26,6 +26,7 @@ from tidemark.operators.codes import normalise_events
 from tidemark.operators.prep import model_frame
 from tidemark.operators.reference import eligible_start, envelope, first_interval, first_start, stay_summary
 from tidemark.operators.reports import class_balance, cohort_flow, group_summary, missing_fraction, source_audit
+from tidemark.operators.totals import entity_measures
 from tidemark.plans import products as p
 from tidemark.sources.tables import typed_projection
 
@@ -282,10 +283,15 @@ def _measures_sql(names: list[str]) -> str:
 for _name, _set in {
     "cond_mean_count": ["mean", "count"],
     "cond_min_max_std": ["min", "max", "std"],
-    "cond_median": ["median"],
 }.items():
     add(_name, _measures(_set), _measures_sql(_set))
 
+add(
+    "cond_median",
+    lambda spark, d: present(entity_measures(mapped(spark, d), "hadm_id", FEATURES, ["median"])),
+    _measures_sql(["median"]),
+)
+
 
 def _bounded(spark, d) -> DataFrame:
     clock = placed(spark, d)

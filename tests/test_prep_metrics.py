@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tests.helpers import rows
 from tidemark.operators import evaluate as ev
-from tidemark.operators import prep
 from tidemark.operators.models import fit_sigmoid, recalibrated
 from tidemark.operators.prep import Preprocessor, column_quantiles, model_frame, mutual_information
 
@@ -23,9 +22,7 @@ def table(spark):
     return spark.createDataFrame(data, "id long, a double, b double, c double, d double, y int")
 
 
-@pytest.mark.parametrize("small", [0, 200_000])
-def test_preprocessing_learns_from_training_rows_only(spark, monkeypatch, small):
-    monkeypatch.setattr(prep, "SMALL_GROUP", small)
+def test_preprocessing_learns_from_training_rows_only(spark):
     df = table(spark)
     train = df.where("id < 300")
     fitted = Preprocessor.fit(train, ["a", "b", "c", "d"])
@@ -43,13 +40,11 @@ def test_preprocessing_learns_from_training_rows_only(spark, monkeypatch, small)
     assert fitted.as_frame(spark).count() == 3
 
 
-def test_column_quantiles_agree_on_both_paths(spark, monkeypatch):
+def test_column_quantiles_leave_out_empty_columns(spark):
     df = table(spark)
-    small = column_quantiles(df, ["a", "b", "d"], [0.01, 0.5])
-    monkeypatch.setattr(prep, "SMALL_GROUP", 0)
-    large = column_quantiles(df, ["a", "b", "d"], [0.01, 0.5])
-    assert sorted(small) == sorted(large) == ["a", "b"]
-    assert all(small[c] == pytest.approx(large[c]) for c in small)
+    found = column_quantiles(df, ["a", "b", "d"], [0.01, 0.5])
+    assert sorted(found) == ["a", "b"]
+    assert all(found[c] == pytest.approx(np.quantile(df.toPandas()[c].dropna(), [0.01, 0.5])) for c in found)
 
 
 def test_model_frame_drops_keys_text_and_unlabelled_rows(spark):
@@ -124,9 +119,8 @@ def test_ranking_metrics_and_curves(spark):
     assert (pr[0]["precision"], pr[0]["recall"]) == (1.0, 0.0) and pr[-1]["recall"] == 1.0
 
 
-def test_ranking_metrics_through_buckets(spark, monkeypatch):
+def test_metrics_of_one_model_without_broadcast(spark, without_broadcast):
     data, df = scored(spark)
-    monkeypatch.setattr(ev, "running_totals", lambda *a: __import__("tidemark.operators.ranks", fromlist=["x"]).running_totals(*a, buckets=8, small=0))
     out = {r["model"]: r for r in ev.ranking_metrics(df, by=["model"]).collect()}
     pairs = [(y, p) for m, y, p in data if m == "m"]
     assert out["m"]["auroc"] == pytest.approx(brute_auroc(pairs)) and out["m"]["auprc"] == pytest.approx(brute_ap(pairs))

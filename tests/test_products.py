@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.clinic import write_clinic
 from tests.helpers import formatted_plan, rows
-from tidemark.operators import totals
+from tidemark.operators.totals import entity_measures
 from tidemark.plans.products import PRODUCTS, ProductSettings, feature_product
 from tidemark.sources import runlog, sinks
 from tidemark.sources.tables import (
@@ -100,12 +100,15 @@ def test_products_do_not_change_without_broadcast(tables, without_broadcast):
         assert df.dropDuplicates(["hadm_id", "window_idx"] if name == "timeseries" else ["hadm_id"]).count() == df.count()
 
 
-def test_heavy_entities_get_the_same_medians(tables, monkeypatch):
-    expected = {n: rows(feature_product(n, tables), "hadm_id") for n in ("wide", "early_window")}
-    monkeypatch.setattr(totals, "SKETCH_FAN_IN", 0)
-    for name, wanted in expected.items():
-        assert rows(feature_product(name, tables), "hadm_id") == wanted
-        assert feature_product(name, tables).columns == list(wanted[0])
+def test_medians_of_a_hot_entity_and_of_none(spark):
+    data = [(1, "a", float(k * 7919 % 5003)) for k in range(5003)] + [(2, "a", 4.0), (2, "a", 8.0), (2, "b", None), (None, "b", 1.0), (3, "c", 5.0)]
+    events = spark.createDataFrame(data, "hadm_id long, feature string, value double")
+    found = entity_measures(events, "hadm_id", ["a", "b"], ["median", "count"], [F.count("*").alias("all_events")])
+    assert found.columns == ["hadm_id", "a_median", "a_count", "b_median", "b_count", "all_events"]
+    assert {tuple(r) for r in found.collect()} == {
+        (1, 2501.0, 5003.0, None, 0.0, 5003), (2, 4.0, 2.0, None, 0.0, 3), (None, None, 0.0, 1.0, 1.0, 1), (3, None, 0.0, None, 0.0, 1),
+    }
+    assert {tuple(r) for r in entity_measures(events, "hadm_id", ["b"], ["median"]).collect()} == {(1, None), (2, None), (None, 1.0), (3, None)}
 
 
 def test_unknown_names_raise(spark, tables, folder):

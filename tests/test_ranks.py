@@ -1,4 +1,4 @@
-"""Bucketed ranks, running totals and quantiles against single-machine results, also under skew."""
+"""Ranks, running totals and quantiles against single-machine results, also under skew."""
 
 import hashlib
 import math
@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from tests.helpers import plan, rows
 from tidemark.operators.joins import KeyNotUnique, assert_unique, heavy_keys, many_to_one, one_to_one
-from tidemark.operators.ranks import exact_quantiles, hash_rank, running_totals
+from tidemark.operators import selection
+from tidemark.operators.ranks import hash_rank
+from tidemark.operators.scan import running_totals
+from tidemark.operators.selection import exact_quantiles, quantile_columns
 
 RNG = random.Random(7)
 
@@ -37,28 +40,58 @@ def test_hash_rank_keeps_null_groups(spark):
     assert hash_rank(df, ["g"], 1, ["id"]).count() == 10
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_running_totals(spark, small, by):
+def test_running_totals(spark, by):
     values = sorted(set(skewed_values()))
     data = [(v, 1 + i % 4, "p" if i % 5 else "q") for i, v in enumerate(values)]
     df = spark.createDataFrame(data, "v double, w long, g string").repartition(7)
-    out = rows(running_totals(df, by, "v", ["w"], buckets=16, small=small), "v")
+    out = rows(running_totals(df, by, "v", ["w"]), "v")
     assert len(out) == len(values)
     seen = {}
     for r in out:
         key = r["g"] if by else "all"
         assert r["w_before"] == seen.get(key, 0)
         seen[key] = seen.get(key, 0) + r["w"]
+    assert all(r["w_all"] == seen[r["g"] if by else "all"] for r in out)
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_exact_quantiles(spark, small):
+@pytest.fixture
+def small_tasks(spark):
+    """Tiny tables stay in as many tasks as large ones would have."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, "true")
+
+
+def test_running_totals_of_one_hot_group(spark, without_broadcast, small_tasks):
+    """A group with all rows takes part in every task; nothing is exchanged by the group alone but one row a range."""
+    df = spark.range(20_000).select(F.lit("only").alias("model"), (F.col("id") * 7919 % 20_000).alias("v"), F.lit(1).alias("w")).repartition(3)
+    totals = running_totals(df, ["model"], "v", ["w"])
+    text = plan(totals)
+    assert "hashpartitioning(__range" in text and "SinglePartition" not in text
+    assert totals.where("w_before <> v or w_all <> 20000").count() == 0
+    assert totals.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_running_totals_keep_null_groups(spark):
+    df = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 1, 4)], "g string, v int, w int")
+    out = {(r["g"], r["v"]): (r["w_before"], r["w_all"]) for r in running_totals(df, ["g"], "v", ["w"]).collect()}
+    assert out == {(None, 1): (0, 5), (None, 2): (2, 5), ("a", 1): (0, 4)}
+
+
+@pytest.fixture(params=[4096, 2])
+def sorted_rows(request, monkeypatch):
+    """Buckets are divided on down to so few rows."""
+    monkeypatch.setattr(selection, "SORTED_ROWS", request.param)
+
+
+def test_exact_quantiles(spark, sorted_rows):
     groups = {"hot": skewed_values(), "one": [3.5], "two": [1.0, 2.0], "same": [4.0] * 50, "none": [None]}
     data = [(g, v) for g, vs in groups.items() for v in vs] + [("two", None)]
     df = spark.createDataFrame(data, "g string, v double").repartition(5)
     asked = [0.0, 0.01, 0.3333, 0.5, 0.77, 0.99, 1.0]
-    out = {(r["g"], r["probability"]): r["quantile"] for r in exact_quantiles(df, ["g"], "v", asked, 16, small).collect()}
+    out = {(r["g"], r["probability"]): r["quantile"] for r in exact_quantiles(df, ["g"], "v", asked).collect()}
     for g in ("hot", "one", "two", "same"):
         for q in asked:
             assert out[(g, q)] == pytest.approx(np.quantile(groups[g], q), rel=1e-12), (g, q)
@@ -69,17 +102,16 @@ def test_discrete_quantiles(spark):
     groups = {"hot": skewed_values(), "one": [3.5], "two": [1.0, 2.0], "five": [5.0, 1.0, 4.0, 2.0, 3.0]}
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
     asked = [0.0, 0.2, 0.5, 0.9, 1.0]
-    out = {(r["g"], r["probability"]): r["quantile"] for r in exact_quantiles(df, ["g"], "v", asked, 16, interpolate=False).collect()}
+    out = {(r["g"], r["probability"]): r["quantile"] for r in exact_quantiles(df, ["g"], "v", asked, interpolate=False).collect()}
     for g, values in groups.items():
         for q in asked:
             assert out[(g, q)] == sorted(values)[max(0, math.ceil(q * len(values)) - 1)], (g, q)
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_exact_quantiles_of_a_whole_table(spark, small):
+def test_exact_quantiles_of_a_whole_table(spark):
     values = skewed_values()
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    out = {r["probability"]: r["quantile"] for r in exact_quantiles(df, [], "v", [0.1, 0.9], 8, small).collect()}
+    out = {r["probability"]: r["quantile"] for r in exact_quantiles(df, [], "v", [0.1, 0.9]).collect()}
     assert out[0.1] == pytest.approx(np.quantile(values, 0.1)) and out[0.9] == pytest.approx(np.quantile(values, 0.9))
 
 
@@ -121,8 +153,31 @@ def test_one_to_one(spark):
     assert_unique(a, ["k"])
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_exact_quantiles_with_infinities(spark, small):
+def test_selection_of_extreme_values(spark, without_broadcast, sorted_rows):
+    groups = {
+        "wide": [1e308, -1e308, 5e-324, 0.0, -0.0, -5e-324, 1e-300, math.inf, -math.inf, math.inf, 1.0, 1.0 + 2**-52],
+        "nan": [1.0, math.nan, 2.0, math.nan], None: [3.0, 4.0, 5.0], "hot": [math.inf] * 500 + [0.1 + k * 2**-50 for k in range(1500)],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(4)
+    asked = [k / 12 for k in range(13)]
+    found = {r["g"]: r["quantiles"] for r in quantile_columns(df, ["g"], "v", asked, interpolate=False).collect()}
+    for g, values in groups.items():
+        ordered = sorted(values, key=lambda v: (v != v, v if v == v else 0.0))
+        assert repr([v + 0.0 for v in found[g]]) == repr([ordered[max(0, math.ceil(q * len(values)) - 1)] + 0.0 for q in asked]), g
+
+
+def test_selection_of_many_distinct_values(spark):
+    """600,000 different values, a third of them in one group: exact where a sketch is not."""
+    key = F.when(F.col("id") < 200_000, 0).otherwise(1 + F.col("id") % 5)
+    df = spark.range(600_000).select(key.alias("k"), ((F.col("id") * 7919 % 600_011) / 3.0).alias("v"))
+    found = {r["k"]: r["quantiles"][0] for r in quantile_columns(df, ["k"], "v", [0.5], interpolate=False).collect()}
+    expected = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("l")).select(
+        "k", F.expr("l[CAST(ceil(size(l) / 2) AS INT) - 1]").alias("m")).collect()}
+    sketched = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.percentile_approx("v", 0.5, 10_000).alias("m")).collect()}
+    assert found == expected and sketched != expected
+
+
+def test_exact_quantiles_with_infinities(spark):
     df = spark.createDataFrame([(1.0,), (math.inf,), (math.inf,)], "v double")
-    out = {r["probability"]: r["quantile"] for r in exact_quantiles(df, [], "v", [0.0, 0.25, 0.9], 4, small).collect()}
+    out = {r["probability"]: r["quantile"] for r in exact_quantiles(df, [], "v", [0.0, 0.25, 0.9]).collect()}
     assert out == {0.0: 1.0, 0.25: math.inf, 0.9: math.inf}

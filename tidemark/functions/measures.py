@@ -1,7 +1,8 @@
 """Measures of one feature of an event stream, as aggregate columns.
 
 Every measure is built from aggregates that Spark combines on the map side, so a hot
-entity costs one partial row per task instead of a long sort in one task.
+entity costs one partial row per task instead of a long sort in one task. Medians, which do not
+combine so, are in ``operators.totals``.
 """
 
 from __future__ import annotations
@@ -10,15 +11,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
-MEDIAN_ACCURACY = 10_000
-
 MEASURES: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg,
     "count": lambda v: F.count(v).cast("double"),
     "min": F.min,
     "max": F.max,
     "std": F.stddev_samp,
-    "median": lambda v: F.percentile_approx(v, 0.5, MEDIAN_ACCURACY),
 }
 
 

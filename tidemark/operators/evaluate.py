@@ -2,7 +2,7 @@
 
 A scored table has a 0/1 label, a probability and any number of grouping columns
 (``by``: model, repeat, fold). Rank-based metrics first add up equal probabilities, then
-use bucketed running totals, so no group is sorted in one task.
+take running totals over range partitions, so no group is sorted in one task.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
-from tidemark.operators.ranks import exact_quantiles, running_totals
-from tidemark.session import small_frame
+from tidemark.operators.scan import running_totals
+from tidemark.operators.selection import quantile_columns
+from tidemark.session import broadcast_if_small, materialise, small_frame
 
 
 def _ratio(top: Column, bottom: Column, empty: float | None) -> Column:
@@ -68,28 +69,17 @@ def threshold_counts(
 ) -> DataFrame:
     """Per distinct probability: its positives and negatives, true and false positives at
     that threshold, and the totals of the group."""
-    tied = _tied(scored, y, p, by)
-    run = running_totals(tied, by, "threshold", ["pos", "neg"])
-    sums = tied.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    if by:
-        renamed = sums.select(*[F.col(c).alias(f"__g_{c}") for c in by], "all_pos", "all_neg")
-        condition = F.lit(True)
-        for c in by:
-            condition = condition & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
-        joined = run.join(renamed, condition).drop(*[f"__g_{c}" for c in by])
-    else:
-        whole = sums.first()
-        joined = run.select("*", *[F.lit(whole[c] or 0).cast("long").alias(c) for c in ("all_pos", "all_neg")])
+    joined = running_totals(_tied(scored, y, p, by), by, "threshold", ["pos", "neg"])
     return joined.select(
         *by,
         "threshold",
         "pos",
         "neg",
         F.col("neg_before"),
-        (F.col("all_pos") - F.col("pos_before")).alias("tp"),
-        (F.col("all_neg") - F.col("neg_before")).alias("fp"),
-        "all_pos",
-        "all_neg",
+        (F.col("pos_all") - F.col("pos_before")).alias("tp"),
+        (F.col("neg_all") - F.col("neg_before")).alias("fp"),
+        F.col("pos_all").alias("all_pos"),
+        F.col("neg_all").alias("all_neg"),
     )
 
 
@@ -161,9 +151,9 @@ def reliability_curve(
     by = list(by)
     keys = by or ["__all"]
     rows = scored if by else scored.withColumn("__all", F.lit(0))
-    cuts = exact_quantiles(rows, keys, p, [i / bins for i in range(1, bins)])
-    edges = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list("quantile")).alias("__edges"))
-    named = edges.select(*[F.col(k).alias(f"__e_{k}") for k in keys], "__edges")
+    edges = quantile_columns(rows, keys, p, [i / bins for i in range(1, bins)])
+    # One row a group, so rows of a hot group stay where they are.
+    named = broadcast_if_small(materialise(edges.select(*[F.col(k).alias(f"__e_{k}") for k in keys], F.col("quantiles").alias("__edges"))))
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"__e_{k}"))

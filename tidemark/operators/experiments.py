@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.tdist import critical_value, two_sided_p
-from tidemark.operators.ranks import exact_quantiles, seeded_hash
+from tidemark.operators.ranks import seeded_hash
+from tidemark.operators.selection import exact_quantiles
 
 
 MOST_LEVELS = 1000

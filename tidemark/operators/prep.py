@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidemark.operators.ranks import SMALL_GROUP, exact_quantiles
+from tidemark.operators.selection import quantile_columns
 from tidemark.session import small_frame
 
 
@@ -113,16 +113,11 @@ def column_quantiles(
 ) -> dict[str, list[float]]:
     """Exact quantiles of many columns; nulls are left out, columns without values are absent.
 
-    A frame of few rows takes one pass over all columns; a large one goes through buckets.
+    All columns are selected from together; what reaches the driver is one row a column.
     """
-    asked = [float(q) for q in probabilities]
-    if df.count() <= SMALL_GROUP:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), asked).alias(c) for c in features]).first()
-        return {c: list(row[c]) for c in features if row[c] is not None}
-    found: dict[str, dict[float, float]] = {}
-    for row in exact_quantiles(to_long(df, features), ["feature"], "value", asked, small=0).collect():
-        found.setdefault(row["feature"], {})[row["probability"]] = row["quantile"]
-    return {c: [found[c][q] for q in asked] for c in features if c in found}
+    found = quantile_columns(to_long(df, features), ["feature"], "value", [float(q) for q in probabilities])
+    by_feature = {row["feature"]: list(row["quantiles"]) for row in found.collect()}
+    return {c: by_feature[c] for c in features if c in by_feature}
 
 
 def impute(feature: str, centre: float) -> Column:
@@ -141,8 +136,8 @@ def mutual_information(
     Only (feature, bin, label) counts leave the map side.
     """
     long = to_long(df, features, [label]).where(F.col("value").isNotNull())
-    cuts = exact_quantiles(long, ["feature"], "value", [i / bins for i in range(1, bins)])
-    edges = cuts.groupBy("feature").agg(F.sort_array(F.collect_list("quantile")).alias("__edges"))
+    cuts = quantile_columns(long, ["feature"], "value", [i / bins for i in range(1, bins)])
+    edges = cuts.select("feature", F.col("quantiles").alias("__edges"))
     binned = long.join(F.broadcast(edges), "feature").select(
         "feature",
         label,

@@ -1,25 +1,18 @@
-"""Global ranks, running totals and exact quantiles without a single-task sort.
+"""Seeded global ranks without a single-task sort.
 
 A window over a whole table, or over a stratum that holds a third of it, runs in one task.
-Everything here works on two levels instead: rows are put into order-preserving buckets,
-bucket totals are summed up (a bounded number of rows per group), and only the rows inside
-one bucket are sorted together.
+Ranks work on two levels instead: rows are put into order-preserving buckets, bucket totals are
+summed up (a bounded number of rows per group), and only the rows inside one bucket are
+sorted together. Running sums are in ``scan``, quantiles in ``selection``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.session import small_frame
-
-BUCKETS = 256
-MOST_BUCKETS = 4096
-ROWS_PER_BUCKET = 2_000_000
 HASH_DIGITS = 3
-SMALL_GROUP = 200_000
-_MOST_EDGES = 1_000_000
 _ONE = "__all"
 
 
@@ -72,154 +65,3 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
         same = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
         condition = same if condition is None else condition & same
     return left.join(renamed, condition).drop(*[f"__r_{k}" for k in keys])
-
-
-def _place(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFrame:
-    """Add ``__bucket``: how many bucket edges lie strictly below ``value``.
-
-    The edges are approximate quantiles of each group (of the whole table when there are
-    too many groups), read once and used as constants, so every branch of a plan and every
-    retried task sees the same ones. Their accuracy decides only how even the buckets are,
-    never a result.
-    """
-    by = list(by)
-    probabilities = [i / buckets for i in range(1, buckets)]
-    sketch = F.percentile_approx(F.col(value).cast("double"), probabilities, 8 * buckets).alias("__edges")
-    most_groups = _MOST_EDGES // buckets
-    found = df.groupBy(*by).agg(sketch).limit(most_groups + 1).collect()
-    if len(found) > most_groups:
-        by, found = [], df.agg(sketch).collect()
-    steps = []
-    reach = 1
-    while reach < buckets:
-        steps.insert(0, reach)
-        reach *= 2
-    number = F.col(value).cast("double")
-
-    def climb(position: Column, step: Column) -> Column:
-        probe = position + step
-        return F.when(F.get(F.col("__edges"), probe - F.lit(1)) < number, probe).otherwise(position)
-
-    search = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), climb)
-    if not by:
-        constant = F.lit(sorted(set(found[0]["__edges"] or []))).cast("array<double>")
-        return df.withColumn("__edges", constant).withColumn("__bucket", search).drop("__edges")
-    rows = [(*[row[k] for k in by], sorted(set(row["__edges"] or []))) for row in found]
-    schema = T.StructType(
-        [T.StructField(f"__r_{k}", df.schema[k].dataType) for k in by]
-        + [T.StructField("__edges", T.ArrayType(T.DoubleType(), False))]
-    )
-    edges = F.broadcast(small_frame(df.sparkSession, rows, schema))
-    condition = F.lit(True)
-    for k in by:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    placed = df.join(edges, condition).withColumn("__bucket", search)
-    return placed.drop("__edges", *[f"__r_{k}" for k in by])
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group (of the whole table without ``by``)."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    return sizes.agg(F.coalesce(F.max("__n"), F.lit(0))).first()[0]
-
-
-def _bucket_count(rows: int) -> int:
-    return min(MOST_BUCKETS, max(BUCKETS, rows // ROWS_PER_BUCKET))
-
-
-def running_totals(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    totals: Sequence[str],
-    buckets: int | None = None,
-    small: int = SMALL_GROUP,
-) -> DataFrame:
-    """For each row, ``<total>_before``: sum of ``total`` over rows of its group with a smaller value.
-
-    ``value`` must be unique inside a group: aggregate ties first. Groups are counted; if
-    none exceeds ``small`` rows a plain window does, otherwise buckets are used.
-    """
-    by = list(by)
-    grouped = df if by else df.withColumn(_ONE, F.lit(0))
-    keys = by or [_ONE]
-    largest = largest_group(df, by)
-    if largest <= small:
-        lower = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return grouped.select(*df.columns, *[
-            F.coalesce(F.sum(t).over(lower), F.lit(0)).alias(f"{t}_before") for t in totals
-        ])
-    placed = _place(grouped, keys if by else [], value, buckets or _bucket_count(largest))
-    sizes = placed.groupBy(*keys, "__bucket").agg(*[F.sum(t).alias(t) for t in totals])
-    below = _offsets(sizes, keys, "__bucket", totals)
-    earlier = (
-        Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    inside = placed.select("*", *[
-        F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"__inside_{t}") for t in totals
-    ])
-    joined = _join_null_safe(inside, below, [*keys, "__bucket"])
-    return joined.select(*df.columns, *[
-        (F.col(f"__inside_{t}") + F.col(f"__below_{t}")).alias(f"{t}_before") for t in totals
-    ])
-
-
-def exact_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probabilities: Sequence[float],
-    buckets: int | None = None,
-    small: int = SMALL_GROUP,
-    interpolate: bool = True,
-) -> DataFrame:
-    """Exact quantiles: one row (by..., probability, quantile).
-
-    Linearly interpolated, or else the smallest value that at least the asked share of the
-    rows does not exceed. Nulls are left out. Groups are counted; if none exceeds ``small`` rows the built-in
-    exact percentile does. It holds a whole group in memory, so larger groups are put into
-    buckets: bucket sizes tell which buckets hold the wanted order statistics, and only
-    the rows of those are shuffled, as distinct values with counts.
-    """
-    by = list(by)
-    keys = by or [_ONE]
-    base = df.where(F.col(value).isNotNull()).select(
-        *([F.col(k) for k in by] or [F.lit(0).alias(_ONE)]), F.col(value).cast("double").alias("__v")
-    )
-    largest = largest_group(base, keys)
-    if largest <= small and interpolate:
-        asked = [float(q) for q in probabilities]
-        at_once = base.groupBy(*keys).agg(F.percentile("__v", asked).alias("__q"))
-        pairs = F.arrays_zip(
-            F.array(*[F.lit(q) for q in asked]).alias("probability"), F.col("__q").alias("quantile")
-        )
-        return at_once.select(*by, F.inline(pairs).alias("probability", "quantile"))
-    placed = _place(base, keys if by else [], "__v", buckets or _bucket_count(largest))
-    sizes = placed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__filled"))
-    group = Window.partitionBy(*keys)
-    spans = _join_null_safe(sizes, _offsets(sizes, keys, "__bucket", ["__filled"]), [*keys, "__bucket"]).withColumn(
-        "__total", F.sum("__filled").over(group)
-    )
-    wanted = spans.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-    between = F.col("probability") * (F.col("__total") - F.lit(1))
-    lowest = F.greatest(F.ceil(F.col("probability") * F.col("__total")) - F.lit(1), F.lit(0)).cast("double")
-    wanted = wanted.withColumn("__at", between if interpolate else lowest)
-    wanted = wanted.withColumn("__index", F.explode(F.array(F.floor("__at"), F.ceil("__at"))))
-    wanted = wanted.withColumn("__offset", F.col("__index") - F.col("__below___filled")).where(
-        (F.col("__offset") >= 0) & (F.col("__offset") < F.col("__filled"))
-    ).select(*keys, "__bucket", "probability", "__at", "__index", "__offset")
-    hit = wanted.select(*keys, "__bucket").distinct()
-    counted = _join_null_safe(placed, hit, [*keys, "__bucket"]).groupBy(*keys, "__bucket", "__v").agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    upto = Window.partitionBy(*keys, "__bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    counted = counted.withColumn("__last", F.sum("__n").over(upto))
-    found = _join_null_safe(counted, wanted, [*keys, "__bucket"]).where(
-        (F.col("__offset") < F.col("__last")) & (F.col("__offset") >= F.col("__last") - F.col("__n"))
-    )
-    share = F.max("__at") - F.floor(F.max("__at"))
-    low, high = F.min("__v"), F.max("__v")
-    # Between two equal infinities there is no difference to take a share of.
-    between = F.when(low == high, low).otherwise(low + (high - low) * share)
-    result = found.groupBy(*keys, "probability").agg(between.alias("quantile"))
-    return result.select(*by, "probability", "quantile")

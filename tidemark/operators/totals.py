@@ -1,4 +1,4 @@
-"""Per-entity measures of an event stream, with a separate path for very heavy entities."""
+"""Per-entity measures of an event stream, exact medians included."""
 
 from __future__ import annotations
 
@@ -7,16 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.measures import feature_measures
-from tidemark.operators.joins import heavy_keys, is_one_of, scanned_bytes
-from tidemark.operators.ranks import exact_quantiles
+from tidemark.operators.selection import quantile_columns
 
-SKETCH_FAN_IN = 2000
 
+def entity_medians(events: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """``<feature>_median`` per ``key``: the smallest value that at least half of the values do not exceed.
 
-def many_tasks(df: DataFrame) -> bool:
-    """Whether scanning ``df`` takes more tasks than one reducer should merge sketches from."""
-    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return scanned_bytes(df) > SKETCH_FAN_IN * int(split)
+    One method at every size: radix selection by (key, feature). Entities without a value of
+    any of the features are absent.
+    """
+    known = events.where(F.col("feature").isin(*features)).select(key, "feature", "value")
+    middle = quantile_columns(known, [key, "feature"], "value", [0.5], interpolate=False)
+    return middle.groupBy(key).agg(*[
+        F.max(F.when(F.col("feature") == f, F.get("quantiles", F.lit(0)))).alias(f"{f}_median") for f in features
+    ])
 
 
 def entity_measures(
@@ -28,25 +32,15 @@ def entity_measures(
 ) -> DataFrame:
     """``<feature>_<measure>`` and ``extra`` aggregates, one row per ``key``.
 
-    All measures but the median combine into a few numbers per task. A median combines
-    into a sketch, and an entity that is present in very many tasks would bring one sketch
-    from each of them to a single reducer. On inputs of that size the few heavy entities
-    get their medians from the bucketed exact quantile instead.
+    All measures but the median combine into a few numbers per task, in one aggregation; medians
+    are selected exactly and joined to them, one row an entity on either side.
     """
-    columns = [*feature_measures(features, measures), *extra]
-    if "median" not in measures or not many_tasks(events):
-        return events.groupBy(key).agg(*columns)
-    heavy = heavy_keys(events, key)
-    if not heavy:
-        return events.groupBy(key).agg(*columns)
-    is_heavy = is_one_of(key, heavy)
-    far = events.where(~is_heavy).groupBy(key).agg(*columns)
-    hot = events.where(is_heavy)
-    plain = hot.groupBy(key).agg(*feature_measures(features, [m for m in measures if m != "median"]), *extra)
-    middle = exact_quantiles(hot, [key, "feature"], "value", [0.5], interpolate=False)
-    wide = middle.groupBy(key).agg(*[
-        F.max(F.when(F.col("feature") == f, F.col("quantile"))).alias(f"{f}_median") for f in features
-    ])
-    named = wide.withColumnRenamed(key, "__key")
-    near = plain.join(F.broadcast(named), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
-    return far.unionByName(near)
+    plain = [m for m in measures if m != "median"]
+    columns = [*feature_measures(features, plain), *extra]
+    combined = events.groupBy(key).agg(*columns) if columns else events.select(key).distinct()
+    if "median" not in measures:
+        return combined
+    medians = entity_medians(events, key, features).withColumnRenamed(key, "__key")
+    joined = combined.join(medians, F.col(key).eqNullSafe(F.col("__key")), "left")
+    own = [c for c in combined.columns if c != key][len(features) * len(plain):]
+    return joined.select(key, *[f"{f}_{m}" for f in features for m in measures], *own)

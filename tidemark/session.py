@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 CLUSTER_SETTINGS = {
@@ -61,3 +61,12 @@ def materialise(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(folder)
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+# A table is broadcast only after its rows were counted and found to be at most this many.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` (materialised) with a broadcast hint if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
