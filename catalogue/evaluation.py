@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from catalogue.common import Entry, present, r, rs, table
 from tidemark.operators import evaluate as ev
 from tidemark.operators import splits as sp
+from tidemark.operators.neighbours import neighbour_information
 from tidemark.operators.prep import Preprocessor, column_quantiles, impute, mutual_information
 from tidemark.session import materialise
 
@@ -67,25 +68,17 @@ add(
     f"WITH {LABELLED} SELECT o_orderkey, o_custkey, fold FROM labelled JOIN {sql_group_folds('labelled', 42, 'fold')} f USING (o_custkey)",
 )
 
-HOLDOUT_SEEDS = [42, 43, 44]
+HOLDOUT_SEEDS = list(range(SEED, SEED + 30))
 
 
 def _holdouts(spark, d) -> DataFrame:
-    rows = labelled(spark, d)
-    parts = [
-        sp.group_holdout(rows, "o_custkey", "y", seed).select(F.lit(seed).alias("seed"), "o_orderkey", "o_custkey", "y", "is_test")
-        for seed in HOLDOUT_SEEDS
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return sp.repeated_group_holdouts(labelled(spark, d), "o_custkey", "y", HOLDOUT_SEEDS)
 
 
-HOLDOUTS = "holdouts AS (" + " UNION ALL ".join(
-    f"SELECT {seed} AS seed, o_orderkey, o_custkey, y, fold = 0 AS is_test FROM labelled JOIN {sql_group_folds('labelled', seed, 'fold')} f{seed} USING (o_custkey)"
-    for seed in HOLDOUT_SEEDS
-) + ")"
+HOLDOUTS = f"""sizes AS (SELECT o_custkey, sum(y) AS n_pos, count(*) AS n_rows FROM labelled GROUP BY o_custkey),
+dealt AS (SELECT seed, o_custkey, (row_number() OVER (PARTITION BY seed ORDER BY n_pos, n_rows, {sql_hash('seed', 'o_custkey')}, o_custkey) - 1) % 5 AS fold
+          FROM sizes, (SELECT unnest(range({HOLDOUT_SEEDS[0]}, {HOLDOUT_SEEDS[-1] + 1})) AS seed) seeds),
+holdouts AS (SELECT CAST(seed AS INTEGER) AS seed, o_orderkey, o_custkey, y, fold = 0 AS is_test FROM labelled JOIN dealt USING (o_custkey))"""
 add(
     "grouped_holdout",
     lambda spark, d: _holdouts(spark, d).where("is_test").select("seed", "o_orderkey"),
@@ -175,7 +168,7 @@ def sparse_frame(spark, d) -> DataFrame:
         F.sum("o_totalprice").alias("spend"),
         F.count(F.lit(1)).cast("double").alias("n_orders"),
         F.datediff(F.min("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("double").alias("first_day"),
-        F.max((F.col("o_orderstatus") == "F").cast("int")).alias("has_filled"),
+        F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("filled"),
     )
     joined = table(spark, d, "customer").join(spent, F.col("c_custkey") == F.col("o_custkey"), "left")
     balance = F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_acctbal"))
@@ -183,7 +176,7 @@ def sparse_frame(spark, d) -> DataFrame:
     return materialise(joined.select(
         "c_custkey",
         (F.col("c_nationkey") < 18).alias("is_train"),
-        F.when(F.col("n_orders") > 10, 1).otherwise(0).alias("busy"),
+        F.when(F.col("filled") >= 0.5, 1).otherwise(0).alias("settled"),
         balance.alias("balance"),
         late.alias("first_day"),
         "spend",
@@ -193,10 +186,11 @@ def sparse_frame(spark, d) -> DataFrame:
 
 SPARSE = """spent AS (
   SELECT o_custkey, sum(o_totalprice) AS spend, CAST(count(*) AS DOUBLE) AS n_orders,
-         CAST(date_diff('day', DATE '1995-01-01', CAST(min(o_orderdate) AS DATE)) AS DOUBLE) AS first_day
+         CAST(date_diff('day', DATE '1995-01-01', CAST(min(o_orderdate) AS DATE)) AS DOUBLE) AS first_day,
+         avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS filled
   FROM orders GROUP BY o_custkey),
 sparse AS (
-  SELECT c_custkey, c_nationkey < 18 AS is_train, CASE WHEN n_orders > 10 THEN 1 ELSE 0 END AS busy,
+  SELECT c_custkey, c_nationkey < 18 AS is_train, CASE WHEN filled >= 0.5 THEN 1 ELSE 0 END AS settled,
          CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_acctbal END AS balance,
          CASE WHEN c_mktsegment <> 'BUILDING' THEN first_day END AS first_day, spend, n_orders
   FROM customer LEFT JOIN spent ON o_custkey = c_custkey)"""
@@ -235,21 +229,50 @@ add("median_impute", lambda spark, d: present(_median_impute(spark, d), 4), f"WI
 add("quantile_clip", lambda spark, d: present(_quantile_clip(spark, d), 4), f"WITH {CLIPPED} SELECT c_custkey, {rs(COLUMNS, 4)} FROM clipped")
 add("standardise", lambda spark, d: present(_standardise(spark, d)), f"WITH {SCALED} SELECT c_custkey, {rs(COLUMNS)} FROM scaled")
 
-_MI_LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, busy, {c} AS v FROM sparse WHERE {c} IS NOT NULL" for c in COLUMNS[:3])
+_MI_LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, settled, {c} AS v FROM sparse WHERE {c} IS NOT NULL" for c in COLUMNS)
 _MI_EDGES = ", ".join(f"quantile_cont(v, {i / 10})" for i in range(1, 10))
 add(
     "mutual_information_topk",
-    lambda spark, d: present(mutual_information(sparse_frame(spark, d), COLUMNS[:3], "busy", top=2)),
+    lambda spark, d: present(mutual_information(sparse_frame(spark, d), COLUMNS, "settled", top=2)),
     f"""WITH {SPARSE}, long AS ({_MI_LONG}),
     edges AS (SELECT feature, [{_MI_EDGES}] AS e FROM long GROUP BY feature),
-    binned AS (SELECT l.feature, busy, len(list_filter(e, lambda z: z < v)) AS b FROM long l JOIN edges USING (feature)),
-    cells AS (SELECT feature, b, busy, CAST(count(*) AS DOUBLE) AS n FROM binned GROUP BY feature, b, busy),
+    binned AS (SELECT l.feature, settled, len(list_filter(e, lambda z: z < v)) AS b FROM long l JOIN edges USING (feature)),
+    cells AS (SELECT feature, b, settled, CAST(count(*) AS DOUBLE) AS n FROM binned GROUP BY feature, b, settled),
     parts AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, b) AS nb,
-                     sum(n) OVER (PARTITION BY feature, busy) AS nc FROM cells)
+                     sum(n) OVER (PARTITION BY feature, settled) AS nc FROM cells)
     SELECT feature, {r('sum(n / t * ln(n * t / (nb * nc)))', 'mutual_information')}
     FROM parts GROUP BY feature ORDER BY sum(n / t * ln(n * t / (nb * nc))) DESC, feature LIMIT 2""",
 )
 
+
+
+def _neighbour_information(spark, d) -> DataFrame:
+    # Sums of prices are rounded, so that distances do not depend on the order of summation.
+    rows = sparse_frame(spark, d).withColumn("spend", F.round("spend"))
+    return neighbour_information(rows, COLUMNS, "settled")
+
+
+add(
+    "mutual_information_neighbours",
+    lambda spark, d: present(_neighbour_information(spark, d)),
+    f"""WITH {SPARSE}, long AS ({_MI_LONG}),
+    sized AS (SELECT feature, settled AS y, CASE WHEN feature = 'spend' THEN round(v) ELSE v END AS v,
+                     count(*) OVER (PARTITION BY feature, settled) AS nc, row_number() OVER () AS id FROM long),
+    kept AS (SELECT * FROM sized WHERE nc > 1),
+    near AS (SELECT a.id, a.feature, a.v, a.nc, least(3, a.nc - 1) AS k, abs(a.v - b.v) AS far,
+                    row_number() OVER (PARTITION BY a.id ORDER BY abs(a.v - b.v)) AS turn
+             FROM kept a JOIN kept b ON a.feature = b.feature AND a.y = b.y AND a.id <> b.id),
+    kth AS (SELECT * FROM near WHERE turn = k),
+    within AS (SELECT a.id, count(*) AS m FROM kth a JOIN kept b ON a.feature = b.feature
+               AND CASE WHEN a.far > 0 THEN b.v > a.v - a.far AND b.v < a.v + a.far ELSE b.v = a.v END GROUP BY a.id),
+    psi AS (SELECT n, -0.5772156649015329 + coalesce(sum(1.0 / n) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p
+            FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM customer))) AS n) t),
+    parts AS (SELECT feature, pk.p - pc.p - pm.p AS part, count(*) OVER (PARTITION BY feature) AS total
+              FROM kth JOIN within USING (id) JOIN psi pk ON pk.n = k JOIN psi pc ON pc.n = nc JOIN psi pm ON pm.n = m)
+    SELECT feature, {r('greatest(0, max(pn.p) + avg(part))', 'mutual_information')}
+    FROM parts JOIN psi pn ON pn.n = total GROUP BY feature""",
+)
+
 # ---- metrics -------------------------------------------------------------------------------------
 
 BY = ["model"]

@@ -83,3 +83,14 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "y int")
     assert {r["y"]: r["weight"] for r in sp.balanced_weights(df, "y").collect()} == {0: 8 / 12, 1: 2.0}
     assert sp.with_balanced_weights(df, "y").agg(F.sum("weight")).first()[0] == pytest.approx(8.0)
+
+
+def test_repeated_holdouts_equal_single_ones(spark, without_broadcast):
+    data = [(i, i % 37 if i % 11 else None, int(i % 5 == 0)) for i in range(600)] + [(1000 + i, 5, 1) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, g long, y int")
+    every = sp.repeated_group_holdouts(df, "g", "y", [3, 4, 5])
+    assert every.columns == ["id", "g", "y", "seed", "is_test"]
+    for seed in (3, 4, 5):
+        one = {(r["id"], r["is_test"]) for r in sp.group_holdout(df, "g", "y", seed).collect()}
+        assert {(r["id"], r["is_test"]) for r in every.where(F.col("seed") == seed).collect()} == one
+        assert len(one) == sum(1 for _, g, _ in data if g is not None)

@@ -1,4 +1,4 @@
-"""MLlib classifiers with balanced classes, scoring and sigmoid recalibration."""
+"""Classifiers with balanced classes (MLlib, and boosted trees of our own), scoring and sigmoid recalibration."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidemark.operators.boosting import BoostedTrees, fit_boosted
 from tidemark.operators.evaluate import logistic_line
 from tidemark.operators.splits import with_balanced_weights
 from tidemark.session import small_frame
@@ -31,8 +32,7 @@ class FittedModel:
     def score(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """(keep..., p, margin): probability of class 1 and the score that recalibration uses.
 
-        The margin is the decision value of linear and boosted models and the probability
-        of a forest.
+        The margin is the decision value of a linear model and the probability of a forest.
         """
         scored = self.model.transform(_assembled(df, self.features))
         p = vector_to_array("probability")[1]
@@ -77,20 +77,7 @@ def fit_forest(
     return FittedModel(learner.fit(weighted), tuple(features), False)
 
 
-def fit_boosted(
-    train: DataFrame, features: Sequence[str], label: str, seed: int = 42, rounds: int = 300,
-    step: float = 0.05, depth: int = 5,
-) -> FittedModel:
-    """Gradient-boosted trees. MLlib has no L2 term on leaf values."""
-    weighted = _assembled(with_balanced_weights(train, label, "__w"), features)
-    learner = GBTClassifier(
-        featuresCol="__x", labelCol=label, weightCol="__w", maxIter=rounds, stepSize=step, maxDepth=depth,
-        seed=seed, checkpointInterval=10,
-    )
-    return FittedModel(learner.fit(weighted), tuple(features), True)
-
-
-Learner = Callable[..., FittedModel]
+Learner = Callable[..., FittedModel | BoostedTrees]
 
 LEARNERS: Mapping[str, Learner] = {
     "Logistic Regression": fit_logistic,

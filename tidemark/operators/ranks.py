@@ -16,9 +16,10 @@ HASH_DIGITS = 3
 _ONE = "__all"
 
 
-def seeded_hash(seed: int, *ids: str) -> Column:
+def seeded_hash(seed: int | Column, *ids: str) -> Column:
     """md5 of seed and identifiers: a reproducible random order, equal in any engine."""
-    return F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids]))
+    first = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws("-", first, *[F.col(c).cast("string") for c in ids]))
 
 
 def _offsets(sizes: DataFrame, by: Sequence[str], bucket: str, totals: Sequence[str]) -> DataFrame:
@@ -32,7 +33,7 @@ def _offsets(sizes: DataFrame, by: Sequence[str], bucket: str, totals: Sequence[
 def hash_rank(
     df: DataFrame,
     by: Sequence[str],
-    seed: int,
+    seed: int | Column,
     ids: Sequence[str],
     name: str = "position",
     digits: int = HASH_DIGITS,

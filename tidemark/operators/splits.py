@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.joins import many_to_one, measured_size
 from tidemark.operators.ranks import hash_rank
@@ -42,31 +42,30 @@ def group_sizes(df: DataFrame, group: str, label: str) -> DataFrame:
     ))
 
 
-def _deal(groups: DataFrame, group: str, seed: int, folds: int, name: str) -> DataFrame:
-    """(group, fold): groups ranked by (positives, rows, seeded hash), dealt round-robin.
+def _deal(
+    groups: DataFrame, group: str, seed: int | Column, folds: int, name: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """(by..., group, fold): groups ranked by (positives, rows, seeded hash), dealt round-robin.
 
     The rank is global but the groups are never sorted as a whole. Groups are counted per
     stratum of equal (positives, rows); a running count over the strata gives each stratum
     its offset, and hash buckets give the rank inside it. n rows have fewer than sqrt(2n)
     different group sizes, so both running counts stay small.
     """
-    strata = groups.groupBy("__pos", "__rows").agg(F.count(F.lit(1)).alias("__groups"))
+    by = list(by)
+    strata = groups.groupBy(*by, "__pos", "__rows").agg(F.count(F.lit(1)).alias("__groups"))
     earlier = (Window.unboundedPreceding, -1)
-    by_size = Window.partitionBy("__pos").orderBy("__rows").rowsBetween(*earlier)
-    by_pos = Window.partitionBy(F.lit(0)).orderBy("__pos").rowsBetween(*earlier)
-    lower = strata.groupBy("__pos").agg(F.sum("__groups").alias("__groups")).select(
-        F.col("__pos").alias("__lower_pos"),
-        F.coalesce(F.sum("__groups").over(by_pos), F.lit(0)).alias("__lower"),
+    by_size = Window.partitionBy(*by, "__pos").orderBy("__rows").rowsBetween(*earlier)
+    by_pos = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__pos").rowsBetween(*earlier)
+    lower = strata.groupBy(*by, "__pos").agg(F.sum("__groups").alias("__groups")).select(
+        *by, "__pos", F.coalesce(F.sum("__groups").over(by_pos), F.lit(0)).alias("__lower")
     )
-    offsets = strata.join(lower, F.col("__pos") == F.col("__lower_pos")).select(
-        F.col("__pos").alias("__stratum_pos"),
-        F.col("__rows").alias("__stratum_rows"),
-        (F.col("__lower") + F.coalesce(F.sum("__groups").over(by_size), F.lit(0))).alias("__offset"),
+    offsets = strata.join(lower, [*by, "__pos"]).select(
+        *by, "__pos", "__rows", (F.col("__lower") + F.coalesce(F.sum("__groups").over(by_size), F.lit(0))).alias("__offset")
     )
-    ranked = hash_rank(groups, ["__pos", "__rows"], seed, [group], "__position")
-    stratum = (F.col("__pos") == F.col("__stratum_pos")) & (F.col("__rows") == F.col("__stratum_rows"))
+    ranked = hash_rank(groups, [*by, "__pos", "__rows"], seed, [group], "__position")
     place = F.col("__offset") + F.col("__position") - F.lit(1)
-    return ranked.join(offsets, stratum).select(group, (place % F.lit(folds)).cast("int").alias(name))
+    return ranked.join(offsets, [*by, "__pos", "__rows"]).select(*by, group, (place % F.lit(folds)).cast("int").alias(name))
 
 
 def group_folds(
@@ -94,6 +93,24 @@ def group_holdout(
     return dealt.withColumn("is_test", F.col("__fold") == 0).drop("__fold")
 
 
+def repeated_group_holdouts(
+    df: DataFrame, group: str, label: str, seeds: Sequence[int], test_size: float = 0.2, name: str = "seed"
+) -> DataFrame:
+    """Every row once per seed, with ``is_test`` as ``group_holdout`` gives it for that seed.
+
+    All seeds are dealt in one plan, over the groups; a group then brings its rows the list of the seeds it is
+    held out in, so rows meet their groups in one join, and only then are repeated.
+    """
+    folds = max(2, round(1.0 / test_size))
+    groups = group_sizes(df, group, label)
+    every = groups.withColumn(name, F.explode(F.lit([int(s) for s in seeds])))
+    dealt = _deal(every, group, F.col(name), folds, "__fold", [name])
+    held = dealt.groupBy(group).agg(F.collect_set(F.when(F.col("__fold") == 0, F.col(name))).alias("__held"))
+    joined = many_to_one(df, held, group, measured_bytes=measured_size(groups, group, 64 + 8 * len(seeds)))
+    repeated = joined.withColumn(name, F.explode(F.lit([int(s) for s in seeds])))
+    return repeated.withColumn("is_test", F.array_contains("__held", F.col(name))).drop("__held")
+
+
 def nested_group_folds(
     df: DataFrame,
     group: str,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark import presets
 from tidemark.operators.evaluate import METRICS, all_metrics
+from tidemark.operators.boosting import BoostedTrees
 from tidemark.operators.models import LEARNERS, FittedModel, Learner, fit_sigmoid, recalibrated
 from tidemark.operators.prep import Preprocessor, mutual_information
 from tidemark.operators.reports import group_summary
@@ -44,7 +45,7 @@ class FittedPipeline:
     """Preprocessing and model learnt from the same training rows."""
 
     prep: Preprocessor
-    model: FittedModel
+    model: FittedModel | BoostedTrees
 
     def score(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         return self.model.score(self.prep.transform(df, keep), keep)
