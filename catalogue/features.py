@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from catalogue import standins as s
@@ -28,6 +30,11 @@ from tidemark.operators.reference import eligible_start, envelope, first_interva
 from tidemark.operators.reports import class_balance, cohort_flow, group_summary, missing_fraction, source_audit
 from tidemark.operators.totals import entity_measures
 from tidemark.plans import products as p
+from tidemark.plans.etl import run_product
+from tidemark.plans.report import as_long, cohort_report
+from tidemark.plans.validation import ValidationSettings
+from tidemark.session import shared_folder
+from tidemark.sources.runlog import read_log
 from tidemark.sources.tables import typed_projection
 
 SPINE = ["age", "gender_male"]
@@ -508,3 +515,71 @@ add(
     )
     + " FROM lineitem GROUP BY l_returnflag, l_linestatus",
 )
+
+# ---- compositions ----------------------------------------------------------------------------------
+
+
+def _run_record(spark, d) -> DataFrame:
+    """One product written with its record; the counts as the log has them, and those of the clip audit."""
+    folder = f"{shared_folder(spark)}/product-{uuid.uuid4().hex}"
+    record = run_product(
+        spark, d, folder, "timeseries", "registered", "one", f"{folder}/log", "parquet", settings=SETTINGS, formats=["parquet"],
+        tables=s.cohort(spark, d),
+    )
+    logged = read_log(spark, f"{folder}/log")
+    audit = [f"clip_{k}" for k in ("candidate_rows", "kept_rows")]
+    added = F.create_map(*[F.lit(x) for k in audit for x in (k, int(record["clip_audit"][k.removeprefix("clip_")]))])
+    every = F.map_concat("raw_counts", F.create_map(F.lit("product"), F.col("feature_rows")), added)
+    return logged.select(F.explode(every).alias("counted", "n_rows"))
+
+
+add(
+    "product_run_record",
+    _run_record,
+    with_tables(
+        " UNION ALL ".join(f"SELECT '{n}' AS counted, count(*) AS n_rows FROM {t}" for n, t in {
+            "admissions": "admissions", "patients": "patients", "stays": "stays", "events": "events", "labs": "labs",
+            "product": "windows JOIN spine USING (hadm_id)", "clip_candidate_rows": "placed",
+            "clip_kept_rows": "placed WHERE charttime BETWEEN ref_start AND ref_end",
+        }.items()),
+        WINDOWS,
+    ),
+)
+REPORT_SETTINGS = ValidationSettings([], ids=["hadm_id"])
+
+
+def _cohort_report(spark, d) -> DataFrame:
+    matrix = p.compact_features(s.cohort(spark, d), SETTINGS)
+    tables = cohort_report(matrix, REPORT_SETTINGS, repeats=3, folds=5)
+    return present(as_long({k: tables[k] for k in ("cohort_flow", "class_balance", "missingness", "cv_diagnostics")}))
+
+
+_FOLDED = """labelled AS (SELECT * FROM matrix WHERE mortality_label IS NOT NULL),
+folded AS (SELECT l.*, fold FROM labelled l JOIN (
+  SELECT subject_id, (row_number() OVER (ORDER BY n_pos, n_rows, md5(concat_ws('-', '42', subject_id)), subject_id) - 1) % 5 AS fold
+  FROM (SELECT subject_id, sum(mortality_label) AS n_pos, count(*) AS n_rows FROM labelled GROUP BY subject_id) g) f USING (subject_id)),
+sides AS (SELECT k.fold, count(DISTINCT CASE WHEN f.fold <> k.fold THEN subject_id END) AS n_groups_train,
+  count(DISTINCT CASE WHEN f.fold = k.fold THEN subject_id END) AS n_groups_test,
+  count(CASE WHEN f.fold <> k.fold THEN 1 END) AS n_rows_train, count(CASE WHEN f.fold = k.fold THEN 1 END) AS n_rows_test,
+  avg(CASE WHEN f.fold <> k.fold THEN mortality_label END) AS positive_rate_train,
+  avg(CASE WHEN f.fold = k.fold THEN mortality_label END) AS positive_rate_test
+  FROM folded f, (SELECT DISTINCT fold FROM folded) k GROUP BY k.fold)"""
+_REPORT_FEATURES = [c for c in COMPACT_VALUES if c not in ("hadm_id", "subject_id", "mortality_label")]
+_CELLS = [
+    *[("cohort_flow", f"'{stage}'", m, e, t) for stage, t in (("all_rows", "matrix"), ("labelled_rows", "labelled"))
+      for m, e in (("n_rows", "count(*)"), ("n_patients", "count(DISTINCT subject_id)"))],
+    ("class_balance", "CAST(mortality_label AS VARCHAR)", "proportion", "count(*) / CAST((SELECT count(*) FROM labelled) AS DOUBLE)",
+     "labelled GROUP BY mortality_label"),
+    *[("missingness", f"'{c}'", "missing_fraction", f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)", "labelled") for c in _REPORT_FEATURES],
+    *[("missingness", f"'{c}_missing'", "missing_fraction", "0", "(SELECT 1) one") for c in COMPACT_FLAGS],
+    *[("cv_diagnostics", "CAST(fold AS VARCHAR)", m, m, "sides") for m in (
+        "n_groups_train", "n_groups_test", "n_rows_train", "n_rows_test", "positive_rate_train", "positive_rate_test")],
+]
+add(
+    "cohort_report",
+    _cohort_report,
+    with_tables(
+        " UNION ALL ".join(f"SELECT '{a}' AS section, {b} AS item, '{m}' AS measure, {r(e, 'value')} FROM {t}" for a, b, m, e, t in _CELLS),
+        COMPACT_MATRIX + ", " + _FOLDED,
+    ),
+)

@@ -14,13 +14,13 @@ from catalogue.evaluation import sql_hash
 from tidemark.functions.clock import epoch_seconds
 from tidemark.functions.tdist import critical_value, two_sided_p
 from tidemark.operators import experiments as ex
-from tidemark.operators.joins import one_to_one
 from tidemark.operators.models import fit_boosted, fit_forest, fit_logistic
 from tidemark.operators.prep import Preprocessor, model_frame
 from tidemark.operators.reports import group_summary, mean_std_text, top_rows
 from tidemark.operators.splits import group_holdout
 from tidemark.operators.telemetry import TASK_TOTALS, resource_alignment, resource_summary, telemetry_rollup
 from tidemark.plans import products as p
+from tidemark.plans.analysis import validation_analysis, with_telemetry
 from tidemark.plans import validation as v
 from tidemark.session import materialise
 from tidemark.sources.runlog import repair_numbers
@@ -338,9 +338,46 @@ add("telemetry_rollup", lambda spark, d: telemetry_rollup(event_lines(spark, d))
 
 def _joined_telemetry(spark, d) -> DataFrame:
     runs = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("run_id"), F.col("s_acctbal").alias("total_seconds"))
-    return one_to_one(runs, telemetry_rollup(event_lines(spark, d)), "run_id").select("run_id", "total_seconds", "tasks", "failed_tasks")
+    return with_telemetry(runs, event_lines(spark, d)).select("run_id", "total_seconds", "tasks", "failed_tasks")
+
+
+def _manifest(spark, d) -> DataFrame:
+    """Suppliers as runs: nations deal them out to three workloads and two scenarios; some names are warm-ups."""
+    comma = F.regexp_replace(F.format_number(F.col("s_acctbal") + 2000, 2), ",", "")
+    return table(spark, d, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("run_id"),
+        F.concat(F.lit("w"), F.col("s_nationkey") % 3).alias("workload"),
+        F.when(F.col("s_suppkey") % 2 == 0, "even").otherwise("odd").alias("scenario"),
+        F.floor(F.col("s_suppkey") / 2).alias("block"),
+        F.when(F.col("s_suppkey") % 10 == 0, "warmup").otherwise("measured").alias("phase"),
+        F.lit("ok").alias("status"), F.lit("parquet").alias("input_format"), F.lit(1).cast("long").alias("feature_rows"),
+        F.regexp_replace(comma, r"\.", ",").alias("total_seconds"), F.lit(1.5).alias("extract_seconds"),
+        F.col("s_acctbal").alias("load_seconds"),
+    )
+
+
+def _validation_summary(spark, d) -> DataFrame:
+    manifest = _manifest(spark, d)
+    return validation_analysis(manifest, event_lines(spark, d), manifest.count(), "even", ["odd"])["summary"]
 
 
+_GIB = "CAST(1073741824 AS DOUBLE)"
+_VALIDATION = {
+    "total_mean": "avg(t)", "total_std": "stddev_samp(t)", "total_median": "quantile_cont(t, 0.5)", "extract_mean": "avg(1.5)",
+    "load_mean": "avg(s_acctbal)", "executor_cpu_s": "avg(executor_cpu_ns) / 1e9", "gc_s": "avg(jvm_gc_ms) / 1e3",
+    "shuffle_read_gb": f"avg(shuffle_read_bytes) / {_GIB}", "shuffle_write_gb": f"avg(shuffle_write_bytes) / {_GIB}",
+    "spill_gb": f"avg(disk_spill_bytes) / {_GIB}",
+}
+add(
+    "validation_summary",
+    lambda spark, d: present(_validation_summary(spark, d)),
+    f"""WITH rolled AS ({SQL_ROLLUP}),
+    merged AS (SELECT 'w' || CAST(s_nationkey % 3 AS VARCHAR) AS workload, CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS scenario,
+        s_acctbal, round(s_acctbal + 2000, 2) AS t, rolled.*
+      FROM supplier JOIN rolled ON run_id = CAST(s_suppkey AS VARCHAR) WHERE s_suppkey % 10 <> 0)
+    SELECT workload, scenario, count(*) AS n, {', '.join(r(e, n) for n, e in _VALIDATION.items())}, CAST(sum(failed_tasks) AS BIGINT) AS failed_tasks
+    FROM merged GROUP BY workload, scenario""",
+)
 add(
     "runs_with_telemetry",
     _joined_telemetry,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.clock import SECONDS_PER_HOUR, epoch_seconds, window_index
 from tidemark.operators.joins import many_to_one
@@ -39,16 +39,21 @@ def clip_to_interval(placed: DataFrame, time: str = "charttime") -> DataFrame:
     return placed.where(inside_interval(time))
 
 
-def clip_audit(placed: DataFrame, time: str = "charttime") -> DataFrame:
-    """Candidate, kept and clipped event counts and the clipped share in percent."""
+def clip_counts(time: str = "charttime") -> list[Column]:
+    """The aggregates of a clip audit."""
     kept = F.count_if(inside_interval(time))
     total = F.count(F.lit(1))
-    return placed.agg(
+    return [
         total.alias("candidate_rows"),
         kept.alias("kept_rows"),
         (total - kept).alias("clipped_rows"),
         (F.lit(100.0) * F.try_divide(total - kept, total)).alias("clipped_percent"),
-    )
+    ]
+
+
+def clip_audit(placed: DataFrame, time: str = "charttime") -> DataFrame:
+    """Candidate, kept and clipped event counts and the clipped share in percent."""
+    return placed.agg(*clip_counts(time))
 
 
 def within_first_hours(placed: DataFrame, hours: float) -> DataFrame:

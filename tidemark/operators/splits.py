@@ -108,7 +108,7 @@ def repeated_group_holdouts(
     held = dealt.groupBy(group).agg(F.collect_set(F.when(F.col("__fold") == 0, F.col(name))).alias("__held"))
     joined = many_to_one(df, held, group, measured_bytes=measured_size(groups, group, 64 + 8 * len(seeds)))
     repeated = joined.withColumn(name, F.explode(F.lit([int(s) for s in seeds])))
-    return repeated.withColumn("is_test", F.array_contains("__held", F.col(name))).drop("__held")
+    return repeated.select(*df.columns, name, F.array_contains("__held", F.col(name)).alias("is_test"))
 
 
 def nested_group_folds(

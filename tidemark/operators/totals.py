@@ -29,18 +29,20 @@ def entity_measures(
     features: Sequence[str],
     measures: Sequence[str],
     extra: Sequence[Column] = (),
+    median_events: DataFrame | None = None,
 ) -> DataFrame:
     """``<feature>_<measure>`` and ``extra`` aggregates, one row per ``key``.
 
     All measures but the median combine into a few numbers per task, in one aggregation; medians
-    are selected exactly and joined to them, one row an entity on either side.
+    are selected exactly and joined to them, one row an entity on either side. ``median_events`` may give the same
+    (key, feature, value) rows by a shorter plan than ``events``, as medians read them twice.
     """
     plain = [m for m in measures if m != "median"]
     columns = [*feature_measures(features, plain), *extra]
     combined = events.groupBy(key).agg(*columns) if columns else events.select(key).distinct()
     if "median" not in measures:
         return combined
-    medians = entity_medians(events, key, features).withColumnRenamed(key, "__key")
+    medians = entity_medians(events if median_events is None else median_events, key, features).withColumnRenamed(key, "__key")
     joined = combined.join(medians, F.col(key).eqNullSafe(F.col("__key")), "left")
     own = [c for c in combined.columns if c != key][len(features) * len(plain):]
     return joined.select(key, *[f"{f}_{m}" for f in features for m in measures], *own)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,6 +18,7 @@ from tidemark.functions.indicators import (
 )
 from tidemark.functions.measures import MEASURES, bounded_means, feature_measures, trends
 from tidemark.operators.align import (
+    clip_counts,
     clip_to_interval,
     into_windows,
     on_entity_clock,
@@ -28,6 +29,8 @@ from tidemark.operators.joins import many_to_one
 from tidemark.operators.reference import eligible_start, envelope, first_start, stay_summary
 from tidemark.operators.totals import entity_measures
 
+# Called with a name, a table and aggregates; returns the table, whose next full pass also computes them.
+Watch = Callable[..., DataFrame]
 ENTITY = "hadm_id"
 SPINE_COLUMNS = ["hadm_id", "subject_id", "mortality_label", "age", "gender_male"]
 
@@ -67,6 +70,13 @@ class ProductSettings:
     tie_columns: Sequence[str] = ()
 
 
+def _watched(tables: CohortTables, watch: Watch | None) -> CohortTables:
+    """Tables whose rows are counted by the pass that reads them."""
+    if watch is None:
+        return tables
+    return replace(tables, **{f.name: watch(f.name, getattr(tables, f.name)) for f in fields(tables)})
+
+
 def entity_spine(tables: CohortTables, settings: ProductSettings) -> DataFrame:
     """One row per admission: label, age and indicator."""
     admitted = tables.admissions.select(
@@ -93,7 +103,9 @@ def _abnormal_count(settings: ProductSettings) -> Column:
     return F.count_if(is_abnormal("flag", trim_both=settings.trim_flags)).cast("double").alias("lab_abnormal_count")
 
 
-def lab_summary(labs: DataFrame, settings: ProductSettings, wide: bool = False) -> DataFrame:
+def lab_summary(
+    labs: DataFrame, settings: ProductSettings, wide: bool = False, median_labs: DataFrame | None = None
+) -> DataFrame:
     """Mean, std, count and abnormal count per entity; ``wide`` adds min, max and median."""
     known = labs.where(F.col("valuenum").isNotNull())
     summary = known.groupBy(ENTITY).agg(
@@ -102,11 +114,14 @@ def lab_summary(labs: DataFrame, settings: ProductSettings, wide: bool = False)
     )
     if not wide:
         return summary
-    all_labs = known.select(
-        ENTITY, "flag", F.col("valuenum"), F.lit("lab_value").alias("feature"), F.col("valuenum").cast("double").alias("value")
-    )
+
+    def as_events(rows: DataFrame) -> DataFrame:
+        named = (F.lit("lab_value").alias("feature"), F.col("valuenum").cast("double").alias("value"))
+        return rows.where(F.col("valuenum").isNotNull()).select(ENTITY, "flag", *named)
+
     return entity_measures(
-        all_labs, ENTITY, ["lab_value"], ["mean", "std", "count", "min", "max", "median"], [_abnormal_count(settings)]
+        as_events(labs), ENTITY, ["lab_value"], ["mean", "std", "count", "min", "max", "median"], [_abnormal_count(settings)],
+        as_events(labs if median_labs is None else median_labs),
     ).select(*summary.columns, "lab_value_min", "lab_value_max", "lab_value_median")
 
 
@@ -123,8 +138,11 @@ def _with_context(spine: DataFrame, *parts: DataFrame) -> DataFrame:
     return spine
 
 
-def compact_features(tables: CohortTables, settings: ProductSettings = ProductSettings()) -> DataFrame:
+def compact_features(
+    tables: CohortTables, settings: ProductSettings = ProductSettings(), watch: Watch | None = None
+) -> DataFrame:
     """One row per admission: mean and count per feature, stay and lab summary, fixed flags."""
+    tables = _watched(tables, watch)
     vitals = _normalised(tables, settings).groupBy(ENTITY).agg(
         *feature_measures(settings.book.features, ["mean", "count"])
     )
@@ -139,14 +157,17 @@ def compact_features(tables: CohortTables, settings: ProductSettings = ProductSe
     return with_missing_flags(matrix, flagged)
 
 
-def wide_features(tables: CohortTables, settings: ProductSettings = ProductSettings()) -> DataFrame:
+def wide_features(
+    tables: CohortTables, settings: ProductSettings = ProductSettings(), watch: Watch | None = None
+) -> DataFrame:
     """One row per admission: six measures, bounded means and trend per feature, all flags.
 
     The whole-period and the time-bounded measures come from one pass: the reference time
     is attached first (left, so events of entities without intervals still count) and the
-    time-bounded measures look only at placed events.
+    time-bounded measures look only at placed events. Medians need no reference time.
     """
-    features = settings.book.features
+    features, plain = settings.book.features, tables
+    tables = _watched(tables, watch)
     placed = on_entity_clock(_normalised(tables, settings), first_start(tables.stays), ENTITY, how="left")
     hours = F.col("elapsed_seconds") / F.lit(float(SECONDS_PER_HOUR))
     order = [F.col("charttime"), *[F.col(c) for c in settings.tie_columns], F.col("value")]
@@ -158,23 +179,28 @@ def wide_features(tables: CohortTables, settings: ProductSettings = ProductSetti
         timed[f] = [*means[i * per_feature:(i + 1) * per_feature], slopes[i]]
     vitals = entity_measures(
         placed, ENTITY, features, ["mean", "count", "min", "max", "std", "median"],
-        [column for f in features for column in timed[f]],
+        [column for f in features for column in timed[f]], _normalised(plain, settings),
     )
     matrix = _with_context(
         entity_spine(tables, settings), stay_summary(tables.stays), vitals,
-        lab_summary(tables.labs, settings, wide=True),
+        lab_summary(tables.labs, settings, wide=True, median_labs=plain.labs),
     )
     return with_missing_flags(matrix, keys=SPINE_COLUMNS)
 
 
-def window_features(tables: CohortTables, settings: ProductSettings = ProductSettings()) -> DataFrame:
+def window_features(
+    tables: CohortTables, settings: ProductSettings = ProductSettings(), watch: Watch | None = None
+) -> DataFrame:
     """One row per admission and fixed-length window that holds an event.
 
     The one-row-per-admission context is joined once, after the windows are aggregated;
     it is the last step, so adaptive execution may split a hot admission's windows.
     """
+    tables = _watched(tables, watch)
     placed = on_entity_clock(_normalised(tables, settings), envelope(tables.stays), ENTITY)
     if settings.clip_windows:
+        if watch is not None:
+            placed = watch("clip", placed, *clip_counts())
         placed = clip_to_interval(placed)
     windows = into_windows(placed, settings.window_hours).groupBy(ENTITY, "window_idx").agg(
         *feature_measures(settings.book.features, ["mean", "min", "max", "std", "count"])
@@ -185,18 +211,24 @@ def window_features(tables: CohortTables, settings: ProductSettings = ProductSet
     return windows.join(context, ENTITY, "inner")
 
 
-def early_window_features(tables: CohortTables, settings: ProductSettings = ProductSettings()) -> DataFrame:
+def early_window_features(
+    tables: CohortTables, settings: ProductSettings = ProductSettings(), watch: Watch | None = None
+) -> DataFrame:
     """One row per eligible admission, from events in the first hours only.
 
     Nothing here reads the end or the length of an interval except the eligibility test
     inside ``eligible_start``.
     """
+
+    def early_events(source: CohortTables) -> DataFrame:
+        starts = eligible_start(source.stays, settings.early_min_hours)
+        return within_first_hours(on_entity_clock(_normalised(source, settings), starts, ENTITY), settings.early_hours)
+
+    plain, tables = tables, _watched(tables, watch)
     cohort = eligible_start(tables.stays, settings.early_min_hours)
-    early = within_first_hours(
-        on_entity_clock(_normalised(tables, settings), cohort, ENTITY), settings.early_hours
-    )
     vitals = entity_measures(
-        early, ENTITY, settings.book.features, ["mean", "min", "max", "std", "median", "count"]
+        early_events(tables), ENTITY, settings.book.features, ["mean", "min", "max", "std", "median", "count"],
+        median_events=early_events(plain),
     )
     drawn = tables.labs.select(ENTITY, "charttime", "valuenum", "flag").where(F.col("valuenum").isNotNull())
     labs = lab_utilisation(
@@ -214,8 +246,10 @@ PRODUCTS = {
 }
 
 
-def feature_product(name: str, tables: CohortTables, settings: ProductSettings = ProductSettings()) -> DataFrame:
-    """Product by name; an unknown name is an error."""
+def feature_product(
+    name: str, tables: CohortTables, settings: ProductSettings = ProductSettings(), watch: Watch | None = None
+) -> DataFrame:
+    """Product by name; an unknown name is an error. ``watch`` is told of all tables and of the events that are clipped."""
     if name not in PRODUCTS:
         raise ValueError(f"unknown product {name!r}; known: {sorted(PRODUCTS)}")
-    return PRODUCTS[name](tables, settings)
+    return PRODUCTS[name](tables, settings, watch)

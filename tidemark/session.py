@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
@@ -47,6 +48,19 @@ def small_frame(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructT
     return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for intermediate tables.
+
+    Only a local session may do without ``spark.checkpoint.dir``: there a temporary folder is shared by all.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once for many readers.
 

@@ -62,6 +62,27 @@ def append_record(spark: SparkSession, record: Mapping, log: str) -> None:
     spark.createDataFrame([dict(record)], RECORD_SCHEMA).coalesce(1).write.mode("append").json(log)
 
 
+def upsert_records(spark: SparkSession, records: Sequence[Mapping], log: str) -> None:
+    """Put run records into a log partitioned by run: a run's record replaces its earlier one, others stay.
+
+    Only the partitions of these runs are rewritten, and only once the job has succeeded. So a write may be
+    repeated or broken off at any point: the log holds each run's last complete record.
+    """
+    rows = spark.createDataFrame([{k: r.get(k) for k in RECORD_SCHEMA.names} for r in records], RECORD_SCHEMA)
+    upsert_runs(rows, log)
+
+
+def upsert_runs(rows: DataFrame, log: str, key: str = "run_id") -> None:
+    """``rows`` into a Parquet table partitioned by ``key``, replacing the partitions they touch and no others."""
+    writer = rows.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(key).parquet(log)
+
+
+def read_log(spark: SparkSession, log: str, schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
+    """The run log that ``upsert_records`` keeps; one row per run."""
+    return spark.read.schema(schema).parquet(log).select(*schema.names)
+
+
 def read_records(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
     """Run records, one JSON document per file, pretty-printed or not, byte-order mark or not."""
     reader = spark.read.option("multiLine", True)
