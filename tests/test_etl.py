@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from tests.clinic import write_clinic
+from tests.helpers import plan, rows
 from tidemark.plans.etl import record_rows, run_product
 from tidemark.sources.runlog import RECORD_SCHEMA, read_log, upsert_records, upsert_runs
 from tidemark.sources.sinks import read_matrix
-from tidemark.sources.tables import load_tables
+from tidemark.sources.tables import convert_to_buckets, load_buckets, load_tables
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +72,23 @@ def test_log_may_be_written_twice_or_broken_off(spark, tmp_path):
     assert seen() == {"a": 1.0, "b": 2.0}
     upsert_records(spark, [record("b", 9.0), record("007", 3.0)], log)
     assert seen() == {"a": 1.0, "b": 9.0, "007": 3.0}
+
+
+def test_bucketed_tables_are_joined_and_grouped_without_an_exchange(spark, folder, tmp_path, without_broadcast):
+    from tidemark.operators.align import on_entity_clock
+    from tidemark.operators.codes import normalise_events
+    from tidemark.operators.reference import envelope
+    from tidemark.plans.products import ProductSettings, feature_product
+
+    convert_to_buckets(spark, folder, str(tmp_path), 4, prefix="clinic_")
+    stored, plain = load_buckets(spark, "clinic_"), load_tables(spark, folder)
+    book = ProductSettings().book
+    events = normalise_events(stored.events.select("hadm_id", "itemid", "charttime", "valuenum"), book)
+    by_entity = on_entity_clock(events, envelope(stored.stays), "hadm_id", colocated=True).groupBy("hadm_id").agg(F.avg("value").alias("v"))
+    text = plan(by_entity)
+    assert "Exchange hashpartitioning" not in text and "SortMergeJoin" in text
+    assert "In(itemid" in text or "itemid IN" in text or "In(" in text
+    assert by_entity.count() == 2
+    for product in ("compact", "timeseries"):
+        keys = ["hadm_id"] + ["window_idx"] * (product == "timeseries")
+        assert rows(feature_product(product, stored), *keys) == rows(feature_product(product, plain), *keys)

@@ -10,7 +10,6 @@ from tidemark import presets
 from tidemark.functions.clock import epoch_seconds, window_index
 from tidemark.functions.indicators import age_years, category_indicator, is_abnormal, label_or_event
 from tidemark.functions.measures import feature_measures, trends
-from tidemark.operators import codes
 from tidemark.operators.align import clip_audit, clip_to_interval, into_windows, on_entity_clock, within_first_hours
 from tidemark.operators.codes import Code, CodeBook, normalise_events
 from tidemark.operators.reference import eligible_start, envelope, first_interval, stay_summary
@@ -34,14 +33,15 @@ def test_first_entry_of_a_code_wins():
     assert [(e.code, e.feature) for e in book.entries] == [(1, "a"), (2, "b")]
 
 
-def test_long_code_book_joins_to_the_same_rows(spark, monkeypatch):
+def test_code_book_as_columns_and_as_a_table(spark):
     events = spark.createDataFrame(
         [(i, c, None, float(v)) for i, (c, v) in enumerate([(211, 60), (678, 98), (676, 50), (646, 99), (5, 1), (211, 300)])],
         EVENTS,
     )
-    inline = rows(normalise_events(events, presets.VITALS), "hadm_id")
-    monkeypatch.setattr(codes, "_INLINE_CODES", 2)
-    assert rows(normalise_events(events, presets.VITALS), "hadm_id") == inline
+    book = presets.VITALS
+    columns = events.select("hadm_id", "charttime", book.feature_of("itemid").alias("feature"), book.converted("itemid", "valuenum").alias("value"))
+    inline = rows(columns.where(F.col("feature").isNotNull() & book.in_range()), "hadm_id")
+    assert rows(normalise_events(events, book), "hadm_id") == inline and len(inline) == 3
     free = rows(normalise_events(events, presets.VITALS, apply_ranges=False), "hadm_id")
     assert len(free) == 5
 

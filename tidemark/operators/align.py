@@ -14,16 +14,18 @@ def on_entity_clock(
     key: str = "hadm_id",
     time: str = "charttime",
     how: str = "inner",
+    colocated: bool = False,
 ) -> DataFrame:
     """Attach the reference interval and ``elapsed_seconds`` since its start.
 
     Inner: events without a time or without a reference start are dropped. Left: they
-    stay, with null ``elapsed_seconds``.
+    stay, with null ``elapsed_seconds``. ``colocated`` tables lie in buckets of ``key`` already, so hot keys are not
+    looked for: nothing is moved.
     """
     if how == "inner":
         events = events.where(F.col(time).isNotNull())
         reference = reference.where(F.col("ref_start").isNotNull())
-    joined = many_to_one(events, reference, key, how)
+    joined = events.join(reference, key, how) if colocated else many_to_one(events, reference, key, how)
     elapsed = epoch_seconds(joined, time) - epoch_seconds(joined, "ref_start")
     return joined.withColumn("elapsed_seconds", elapsed)
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.session import small_frame
 
-_INLINE_CODES = 64
-
 
 @dataclass(frozen=True)
 class Code:
@@ -44,35 +42,29 @@ class CodeBook:
     def features(self) -> list[str]:
         return list(dict.fromkeys(entry.feature for entry in self.entries))
 
+    def _looked_up(self, code: str, of: Callable[[Code], object]) -> Column:
+        """What ``of`` gives for the entry of each event's code; null for unknown codes."""
+        if not self.entries:
+            raise ValueError("empty code book")
+        pairs = [F.lit(x) for e in self.entries for x in (e.code, of(e))]
+        return F.try_element_at(F.create_map(*pairs), F.col(code))
+
     def feature_of(self, code: str) -> Column:
         """Feature name of a code column, null for unknown codes."""
-        chosen: Column | None = None
-        for f in self.features:
-            member = F.col(code).isin([e.code for e in self.entries if e.feature == f])
-            chosen = F.when(member, F.lit(f)) if chosen is None else chosen.when(member, F.lit(f))
-        if chosen is None:
-            raise ValueError("empty code book")
-        return chosen
+        return self._looked_up(code, lambda e: e.feature)
 
     def converted(self, code: str, value: str) -> Column:
         """Value in the feature's unit; codes without a conversion pass through untouched."""
-        result = F.col(value)
-        for offset, scale in dict.fromkeys((e.offset, e.scale) for e in self.entries if e.converts):
-            members = [e.code for e in self.entries if (e.offset, e.scale) == (offset, scale)]
-            moved = (F.col(value) - F.lit(float(offset))) * F.lit(float(scale))
-            result = F.when(F.col(code).isin(members), moved).otherwise(result)
-        return result
+        known = self._looked_up(code, lambda e: e.converts)
+        offset, scale = (self._looked_up(code, lambda e, k=k: float(getattr(e, k))) for k in ("offset", "scale"))
+        return F.when(known, (F.col(value) - offset) * scale).otherwise(F.col(value))
 
     def in_range(self, feature: str = "feature", value: str = "value") -> Column:
-        """Both ends inclusive; features without a range pass."""
-        keep: Column | None = None
-        for f in self.features:
-            inside = F.col(feature) == F.lit(f)
-            if f in self.ranges:
-                low, high = self.ranges[f]
-                inside = inside & F.col(value).between(F.lit(float(low)), F.lit(float(high)))
-            keep = inside if keep is None else keep | inside
-        return keep
+        """Both ends inclusive; features without a range pass, unknown features do not."""
+        infinite = (float("-inf"), float("inf"))
+        ends = [F.lit(x) for f in self.features for x in (f, [float(v) for v in self.ranges.get(f, infinite)])]
+        known = F.try_element_at(F.create_map(*ends), F.col(feature))
+        return F.col(value).between(F.get(known, F.lit(0)), F.get(known, F.lit(1)))
 
     def as_frame(self, spark) -> DataFrame:
         """The book as a table (code, feature, offset, scale, lo, hi)."""
@@ -102,19 +94,11 @@ def normalise_events(
     """Events of known codes with a value, as ``feature`` and ``value`` in feature units.
 
     The code list and the not-null test stay plain predicates on source columns, so they
-    reach the Parquet scan. Rows outside the valid range are dropped. A long code book is
-    joined as a table instead of being spelled out; it is driver-built, so its size is known.
+    reach the Parquet scan. Rows outside the valid range are dropped. The book is joined as a table; it is
+    built on the driver, so its size is known.
     """
     known = events.where(F.col(code).isin([e.code for e in book.entries])).where(F.col(value).isNotNull())
     kept = [c for c in events.columns if c not in (code, value, "feature", "value")]
-    if len(book.entries) <= _INLINE_CODES:
-        mapped = known.select(
-            *kept,
-            book.feature_of(code).alias("feature"),
-            book.converted(code, value).cast("double").alias("value"),
-        )
-        return mapped.where(book.in_range()) if apply_ranges else mapped
-
     table = F.broadcast(book.as_frame(events.sparkSession).alias("book"))
     raw = F.col(f"events.{value}")
     converts = (F.col("book.offset") != 0.0) | (F.col("book.scale") != 1.0)

@@ -51,6 +51,8 @@ class CohortTables:
     stays: DataFrame
     events: DataFrame
     labs: DataFrame
+    # Stored in buckets of the entity: joins on it are left to the layout.
+    colocated: bool = False
 
 
 @dataclass(frozen=True)
@@ -74,7 +76,9 @@ def _watched(tables: CohortTables, watch: Watch | None) -> CohortTables:
     """Tables whose rows are counted by the pass that reads them."""
     if watch is None:
         return tables
-    return replace(tables, **{f.name: watch(f.name, getattr(tables, f.name)) for f in fields(tables)})
+    return replace(tables, **{
+        f.name: watch(f.name, getattr(tables, f.name)) for f in fields(tables) if isinstance(getattr(tables, f.name), DataFrame)
+    })
 
 
 def entity_spine(tables: CohortTables, settings: ProductSettings) -> DataFrame:
@@ -168,7 +172,7 @@ def wide_features(
     """
     features, plain = settings.book.features, tables
     tables = _watched(tables, watch)
-    placed = on_entity_clock(_normalised(tables, settings), first_start(tables.stays), ENTITY, how="left")
+    placed = on_entity_clock(_normalised(tables, settings), first_start(tables.stays), ENTITY, how="left", colocated=tables.colocated)
     hours = F.col("elapsed_seconds") / F.lit(float(SECONDS_PER_HOUR))
     order = [F.col("charttime"), *[F.col(c) for c in settings.tie_columns], F.col("value")]
     timed: dict[str, Column] = {}
@@ -197,7 +201,7 @@ def window_features(
     it is the last step, so adaptive execution may split a hot admission's windows.
     """
     tables = _watched(tables, watch)
-    placed = on_entity_clock(_normalised(tables, settings), envelope(tables.stays), ENTITY)
+    placed = on_entity_clock(_normalised(tables, settings), envelope(tables.stays), ENTITY, colocated=tables.colocated)
     if settings.clip_windows:
         if watch is not None:
             placed = watch("clip", placed, *clip_counts())
@@ -222,7 +226,8 @@ def early_window_features(
 
     def early_events(source: CohortTables) -> DataFrame:
         starts = eligible_start(source.stays, settings.early_min_hours)
-        return within_first_hours(on_entity_clock(_normalised(source, settings), starts, ENTITY), settings.early_hours)
+        placed = on_entity_clock(_normalised(source, settings), starts, ENTITY, colocated=source.colocated)
+        return within_first_hours(placed, settings.early_hours)
 
     plain, tables = tables, _watched(tables, watch)
     cohort = eligible_start(tables.stays, settings.early_min_hours)
@@ -232,7 +237,7 @@ def early_window_features(
     )
     drawn = tables.labs.select(ENTITY, "charttime", "valuenum", "flag").where(F.col("valuenum").isNotNull())
     labs = lab_utilisation(
-        within_first_hours(on_entity_clock(drawn, cohort, ENTITY), settings.early_hours), settings
+        within_first_hours(on_entity_clock(drawn, cohort, ENTITY, colocated=tables.colocated), settings.early_hours), settings
     )
     members = cohort.select(ENTITY).join(entity_spine(tables, settings), ENTITY, "inner")
     return with_missing_flags(_with_context(members, vitals, labs), keys=SPINE_COLUMNS)
