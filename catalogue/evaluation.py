@@ -68,6 +68,27 @@ add(
     f"WITH {LABELLED} SELECT o_orderkey, o_custkey, fold FROM labelled JOIN {sql_group_folds('labelled', 42, 'fold')} f USING (o_custkey)",
 )
 
+# The greedy placement as a walk over the groups; positions of a stratum beyond the first twenty are dealt in turn.
+_WALK = f"""sizes AS (SELECT o_custkey, CAST(sum(y) AS BIGINT) AS pos, count(*) AS n FROM labelled GROUP BY o_custkey),
+totals AS (SELECT CAST(greatest(sum(pos), 1) AS HUGEINT) AS tp, CAST(greatest(sum(n - pos), 1) AS HUGEINT) AS tn FROM sizes),
+placed AS (SELECT o_custkey, pos, n - pos AS neg,
+    row_number() OVER (PARTITION BY pos, n ORDER BY {sql_hash("'42'", 'o_custkey')}, o_custkey) - 1 AS j, count(*) OVER (PARTITION BY pos, n) AS c,
+    row_number() OVER (ORDER BY abs(2 * pos - n) DESC, n DESC, pos DESC, {sql_hash("'42'", 'o_custkey')}, o_custkey) AS i FROM sizes),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS o_custkey, CAST(1 AS BIGINT) AS f, CAST([0, 0, 0, 0, 0] AS HUGEINT[]) AS ps, CAST([0, 0, 0, 0, 0] AS HUGEINT[]) AS ns
+  UNION ALL
+  SELECT i, o_custkey, f, list_transform(range(1, 6), lambda k: ps[k] + CASE WHEN k = f THEN pos ELSE 0 END),
+         list_transform(range(1, 6), lambda k: ns[k] + CASE WHEN k = f THEN neg ELSE 0 END)
+  FROM (SELECT p.i, p.o_custkey, pos, neg, ps, ns,
+          CASE WHEN j >= 20 AND j < 20 + (c - 20) // 5 * 5 THEN (j - 20) % 5 + 1
+               ELSE list_sort(list_transform(range(1, 6), lambda k: {{'s': ps[k] * pos * tn * tn + ns[k] * neg * tp * tp, 'r': ps[k] + ns[k], 'f': k}}))[1].f END AS f
+        FROM walk w JOIN placed p ON p.i = w.i + 1 CROSS JOIN totals) step)"""
+add(
+    "balanced_group_folds",
+    lambda spark, d: sp.balanced_group_folds(labelled(spark, d), "o_custkey", "y", SEED),
+    f"WITH RECURSIVE {LABELLED}, {_WALK} SELECT o_custkey, CAST(f - 1 AS INTEGER) AS fold FROM walk WHERE i > 0",
+)
+
 HOLDOUT_SEEDS = list(range(SEED, SEED + 30))
 
 

@@ -94,3 +94,42 @@ def test_repeated_holdouts_equal_single_ones(spark, without_broadcast):
         one = {(r["id"], r["is_test"]) for r in sp.group_holdout(df, "g", "y", seed).collect()}
         assert {(r["id"], r["is_test"]) for r in every.where(F.col("seed") == seed).collect()} == one
         assert len(one) == sum(1 for _, g, _ in data if g is not None)
+
+
+def spread(rows, fold_of, folds):
+    """Variance over the folds of their shares of either class, added up."""
+    shares = {y: [0] * folds for y in (0, 1)}
+    for g, y in rows:
+        shares[y][fold_of[g]] += 1
+    total = 0.0
+    for counts in shares.values():
+        whole = sum(counts) or 1
+        total += sum((c / whole - 1 / folds) ** 2 for c in counts) / folds
+    return total
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_balanced_folds_spread_classes_better_than_dealing_by_rank(spark, seed):
+    """A few large one-sided groups, one of them a tenth of all rows, and many small ones."""
+    data = [(0, int(i % 10 == 0)) for i in range(600)]
+    for g in range(1, 900):
+        size = (1, 2, 2, 7, 40)[g % 5] if g % 60 else 150
+        data += [(g, int((i * 7 + g) % 11 < (8 if g % 3 == 0 else 1))) for i in range(size)]
+    df = spark.createDataFrame(data + [(None, 1)], "g long, y int")
+    greedy = {r["g"]: r["fold"] for r in sp.balanced_group_folds(df, "g", "y", seed).collect()}
+    ranked = {r["g"]: r["fold"] for r in sp.group_folds(df.where("g IS NOT NULL"), "g", "y", seed).collect()}
+    assert set(greedy) == set(ranked) == {g for g, _ in data} and set(greedy.values()) == set(range(5))
+    assert spread(data, greedy, 5) <= spread(data, ranked, 5)
+    assert greedy == {r["g"]: r["fold"] for r in sp.balanced_group_folds(df.repartition(7), "g", "y", seed).collect()}
+
+
+def test_a_stratum_is_placed_as_its_groups_one_by_one():
+    for groups in (3, 20, 21, 24, 25, 57):
+        balance = sp.FoldBalance(5, 300, 700)
+        balance.pos, balance.neg = [9, 0, 4, 4, 1], [30, 10, 12, 12, 50]
+        one = sp.FoldBalance(5, 300, 700)
+        one.pos, one.neg = list(balance.pos), list(balance.neg)
+        first, dealt, last = balance.stratum(2, 5, groups)
+        assert len(first) + dealt + len(last) == groups and dealt % 5 == 0 and len(last) < 5
+        assert first == [one._place(2, 3) for _ in first]
+        assert sum(balance.pos) == 18 + 2 * groups and sum(balance.neg) == 114 + 3 * groups
