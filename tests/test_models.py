@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from tidemark.operators.models import fit_boosted, fit_forest, fit_logistic, probability_of_margin
 from tidemark.plans import validation as v
@@ -24,6 +24,10 @@ def settings(**options):
 
 
 def test_learners_score_probabilities(spark, frame):
+    """Also after a table of the session was observed, which a model's training summary does not survive."""
+    seen = Observation("rows")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
     ready = frame.na.fill(0.0)
     for fit, options in ((fit_logistic, {}), (fit_forest, {"trees": 5, "depth": 5}), (fit_boosted, {"rounds": 3})):
         model = fit(ready, ["x", "noise"], "mortality_label", **options)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -47,6 +48,17 @@ class FittedModel:
         return small_frame(spark, rows, schema).orderBy(F.desc("importance"), "feature")
 
 
+def _without_summary(model: Model) -> Model:
+    """The model without its training summary.
+
+    A summary refers to the session. Models go to the executors with it, and a session that has
+    observed a table cannot be serialised.
+    """
+    java = model._java_obj
+    java.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 def probability_of_margin(margin: Column) -> Column:
     """Logistic fallback for models that only give a margin."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
@@ -62,7 +74,7 @@ def fit_logistic(
         featuresCol="__x", labelCol=label, weightCol="__w", maxIter=max_iter, regParam=1.0 / (c * rows),
         standardization=False, tol=1e-6,
     )
-    return FittedModel(learner.fit(weighted), tuple(features), True)
+    return FittedModel(_without_summary(learner.fit(weighted)), tuple(features), True)
 
 
 def fit_forest(
@@ -74,7 +86,7 @@ def fit_forest(
         featuresCol="__x", labelCol=label, weightCol="__w", numTrees=trees, maxDepth=depth,
         minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024,
     )
-    return FittedModel(learner.fit(weighted), tuple(features), False)
+    return FittedModel(_without_summary(learner.fit(weighted)), tuple(features), False)
 
 
 Learner = Callable[..., FittedModel | BoostedTrees]
