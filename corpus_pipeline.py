@@ -23,7 +23,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near copies (five words, Jaccard 0.8)."""
+    """Keeps the document with the smallest id of each component of near copies (five words, Jaccard 0.8).
+
+    Candidates are SimHash fingerprints within two bits, by covering masks, and shared bands of minima.
+    """
     return deduplicated(docs, width=5, similarity=0.8)
 
 

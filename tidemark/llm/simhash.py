@@ -21,6 +21,10 @@ _draw = np.random.Generator(np.random.PCG64(SEED))
 MIX_XOR, MIX_TIMES = _draw.integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64, endpoint=False)
 MIX_TIMES = MIX_TIMES | np.uint64(1)
 KEYS = ("row_id", "text_key", "row_key")
+# Sets that may be similar are compared by chunks: of so many sets, but not more chunks than that unless they hold so many values.
+CHUNK_SETS, MOST_CHUNKS, CHUNK_SHINGLES = 128, 16, 1 << 22
+# Inside a task, sets and values are compared in blocks of so many.
+BLOCK_SETS, BLOCK_VALUES = 256, 4096
 
 
 def shingle_values(text: str, width: int) -> np.ndarray:
@@ -181,95 +185,145 @@ def set_and_bands(text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _banded(rows: DataFrame, width: int) -> DataFrame:
-    """row_id, text_key, row_key, node (digest of the shingle set), n_shingles and bands of every row."""
+    """row_id, text_key, row_key, node (digest of the shingle set), fp, n_shingles and bands of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [set_and_bands(t, width) for t in batch.column("text").to_pylist()]
+            found = [(*set_and_bands(t, width), fingerprint(t, width)) for t in batch.column("text").to_pylist()]
             columns = [
                 *[batch.column(k) for k in KEYS],
-                pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v, _ in found], pa.binary()),
-                pa.array([len(v) for v, _ in found], pa.int32()),
-                pa.array([b.view(np.int64) for _, b in found], pa.list_(pa.int64())),
+                pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v, _, _ in found], pa.binary()),
+                pa.array(np.array([f for _, _, f in found], np.uint64).view(np.int64)),
+                pa.array([len(v) for v, _, _ in found], pa.int32()),
+                pa.array([b.view(np.int64) for _, b, _ in found], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, [*KEYS, "node", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, [*KEYS, "node", "fp", "n_shingles", "bands"])
 
-    fields = "row_id long, text_key long, row_key long, node binary, n_shingles int, bands array<long>"
+    fields = "row_id long, text_key long, row_key long, node binary, fp long, n_shingles int, bands array<long>"
     return in_batches(rows).mapInArrow(hashed, fields)
 
 
-def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """node and its distinct shingle values, for rows of node and text."""
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """(vertex, root) of every node that shares a candidate group with another; vertex is the XXH64 of the node.
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_values(t, width)).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+    ``nodes`` has node, fp and bands. Two nodes are in one group if a chain of nodes leads from one
+    to the other in which neighbours have fingerprints within two bits, as the covering masks tell
+    without a miss, or share a band value. Buckets give one edge a member, never pairs. A clash
+    of two hashes only makes a group larger.
+    """
+    prints = checkpointed(nodes.select("fp").distinct())
+    near = checkpointed(components(links(prints)).select(F.col("node").alias("fp"), "root"))
+    classed = nodes.select("node", "fp", "bands").join(small_or_not(near), "fp", "left")
+    # The class of the fingerprint is one bucket more, after the bands.
+    keys = F.concat("bands", F.array(F.coalesce("root", "fp")))
+    placed = classed.select(F.xxhash64("node").alias("vertex"), F.posexplode(keys).alias("band", "value"))
+    placed = placed.select("vertex", F.xxhash64("band", "value").alias("bucket"))
+    buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("vertex").alias("least")).where("_n > 1")
+    members = placed.join(small_or_not(checkpointed(buckets.drop("_n"))), "bucket")
+    return components(members.select(F.col("least").alias("u"), F.col("vertex").alias("v"))).withColumnRenamed("node", "vertex")
 
-    return in_batches(rows).mapInArrow(hashed, "node binary, shingles array<long>")
 
+def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """node, root, chunks and the node's distinct shingle values, for rows of node, root, chunks and text."""
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have at least that Jaccard similarity."""
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("_su"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("_sv"))
-    both = pairs.join(left, "u").join(right, "v").withColumn("_common", F.size(F.array_intersect("_su", "_sv")))
-    whole = F.size("_su") + F.size("_sv") - F.col("_common")
-    return both.where(F.col("_common") / whole >= similarity).select("u", "v")
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_values(t, width)) for t in batch.column("text").to_pylist()]
+            kept = [batch.column(k) for k in ("node", "root", "chunks")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array([v.view(np.int64) for v in sets], pa.list_(pa.int64()))], ["node", "root", "chunks", "shingles"]
+            )
+
+    return in_batches(rows).mapInArrow(hashed, "node binary, root long, chunks int, shingles array<long>")
+
+
+def similar_blocks(left: list[np.ndarray], right: list[np.ndarray], similarity: float, same: bool = False) -> np.ndarray:
+    """Pairs (i, j) of sets of the two lists, or of one list and itself, with at least that Jaccard similarity."""
+    sizes = [np.array([len(v) for v in side]) for side in (left, right)]
+    values, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    split = int(sizes[0].sum())
+    held = [np.zeros(len(values), bool), np.zeros(len(values), bool)]
+    held[0][at[:split]], held[1][at[split:]] = True, True
+    # Only values that two sets may share count; in a list and itself each is there twice.
+    column = np.full(len(values), -1)
+    both = held[0] & held[1] & (np.bincount(at.ravel(), minlength=len(values)) > (2 if same else 1))
+    column[both] = np.arange(both.sum())
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    columns = [column[at[:split]], column[at[split:]]]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(both.sum()), BLOCK_VALUES):
+        dense = []
+        for r, c, n in zip(rows, columns, sizes):
+            inside = (c >= start) & (c < start + BLOCK_VALUES)
+            part = np.zeros((len(n), min(BLOCK_VALUES, int(both.sum()) - start)), np.float32)
+            part[r[inside], c[inside] - start] = 1
+            dense.append(part)
+        common += dense[0] @ dense[1].T
+    whole = sizes[0][:, None] + sizes[1][None, :] - common.astype(np.float64)
+    return np.argwhere(common.astype(np.float64) / np.maximum(whole, 1) >= similarity)
+
+
+def _cell_links(table: pa.Table, similarity: float) -> pa.Table:
+    """Edges that connect the similar nodes of one cell: at most one less than it has nodes."""
+    nodes, chunk = table.column("node").to_pylist(), table.column("chunk").to_numpy()
+    sets = [v.to_numpy() for v in (x.values for x in table.column("shingles"))]
+    order = np.argsort(np.array([len(v) for v in sets]), kind="stable")
+    sides = [order[chunk[order] == c] for c in np.unique(chunk)]
+    one, other = sides[0], sides[-1]
+    alone = table.column("first")[0].as_py() == table.column("second")[0].as_py()
+    above, edges = list(range(len(nodes))), []
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    blocks = [range(0, len(side), BLOCK_SETS) for side in (one, other)] if alone or len(sides) > 1 else [[], []]
+    for a in blocks[0]:
+        left = one[a : a + BLOCK_SETS]
+        for b in blocks[1]:
+            right = other[b : b + BLOCK_SETS]
+            # Both sides go by size, so far apart sizes are left out as blocks.
+            low, high = (len(sets[left[0]]), len(sets[left[-1]])), (len(sets[right[0]]), len(sets[right[-1]]))
+            if alone and b < a or low[1] < (similarity - 1e-9) * high[0] or high[1] < (similarity - 1e-9) * low[0]:
+                continue
+            pairs = similar_blocks([sets[k] for k in left], [sets[k] for k in right], similarity, alone and a == b)
+            for i, j in pairs.tolist():
+                u, v = top(int(left[i])), top(int(right[j]))
+                if u != v:
+                    above[v] = u
+                    edges.append((nodes[left[i]], nodes[right[j]]))
+    return pa.table([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
 
 def near_copy_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """(node, root) of every node linked to another by shingle sets of Jaccard ``similarity`` or more.
 
-    ``nodes`` holds each shingle set once: node, n_shingles, bands, text_key; ``texts`` has
-    text_key and text. Sets that share a band value are candidates. A pair at similarity 0.8
-    shares none of the 32 bands of 5 minima with probability (1 - 0.8 ** 5) ** 32 < 4e-6.
-    Every link is checked on the sets themselves.
+    ``nodes`` holds each shingle set once: node, fp, n_shingles, bands, text_key; ``texts`` has
+    text_key and text. Candidates are nodes whose fingerprints the covering masks find within
+    two bits, and those that share a band value. A pair at similarity 0.8 shares none of the
+    32 bands of 5 minima with probability (1 - 0.8 ** 5) ** 32 < 4e-6. Every link is checked on the sets.
 
-    A large bucket is mostly one group of copies: a drawn member is compared with all others,
-    which leaves few pairs whose ends are not yet connected. When no more such pairs are left
-    than there are bucket members, or drawing has stopped to help, all of them are compared.
+    All pairs of a candidate group are compared, in cells: its nodes are dealt into chunks, and
+    every two chunks meet once. So no task holds a large group, a set moves once for
+    every chunk of its group, and a cell gives no more edges than connect its nodes.
     """
-    placed = nodes.select("node", "n_shingles", "text_key", F.posexplode("bands").alias("band", "value"))
-    buckets = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    members = checkpointed(placed.join(buckets, ["band", "value"]))
-    wanted = checkpointed(members.select("node", "text_key").distinct())
-    firsts = texts.join(small_or_not(wanted), "text_key").dropDuplicates(["node"]).select("node", "text")
-    sets = checkpointed(_shingle_sets(firsts, width))
-    rows, bucket = members.count(), ["band", "value"]
-    edges, open_before = None, None
-    while True:
-        if edges is None:
-            grouped = members.withColumn("root", F.col("node"))
-        else:
-            linked = components(edges)
-            grouped = members.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = grouped.groupBy(*bucket, "root").agg(F.count(F.lit(1)).cast("double").alias("_n")).groupBy(*bucket).agg(
-            F.count(F.lit(1)).alias("_roots"), ((F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))) / 2).alias("_pairs")
-        )
-        sizes = checkpointed(sizes.where("_roots > 1").drop("_roots"))
-        open_pairs = sizes.agg(F.coalesce(F.sum("_pairs"), F.lit(0.0))).first()[0]
-        if open_pairs == 0:
-            break
-        unresolved = checkpointed(grouped.join(sizes.select(*bucket), bucket).drop("text_key"))
-        last = open_pairs <= rows or open_before is not None and open_pairs > 0.9 * open_before
-        other = unresolved
-        if not last:
-            drawn = F.min_by(F.struct("node", "n_shingles", "root"), F.xxhash64("node", F.lit(int(open_pairs)))).alias("_d")
-            other = unresolved.groupBy(*bucket).agg(drawn).select(*bucket, "_d.*")
-        other = other.select(*bucket, *[F.col(c).alias(f"_{c}") for c in ("node", "n_shingles", "root")])
-        apart = unresolved.join(other, bucket).where("root <> _root").where(
-            F.least("n_shingles", "_n_shingles") >= (similarity - 1e-9) * F.greatest("n_shingles", "_n_shingles")
-        )
-        pairs = apart.select(F.least("node", "_node").alias("u"), F.greatest("node", "_node").alias("v")).distinct()
-        new = _similar(pairs, sets, similarity)
-        edges = checkpointed(new if edges is None else edges.unionByName(new))
-        if last:
-            break
-        open_before = open_pairs
-    if edges is None:
-        return nodes.select("node", F.col("node").alias("root")).limit(0)
-    return components(edges)
+    groups = checkpointed(candidate_groups(nodes))
+    named = nodes.select("node", "n_shingles", "text_key", F.xxhash64("node").alias("vertex"))
+    grouped = checkpointed(named.join(small_or_not(groups), "vertex").drop("vertex"))
+    sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_held")).where("_n > 1")
+    least = F.least(F.lit(MOST_CHUNKS), F.ceil(F.col("_n") / CHUNK_SETS))
+    chunks = sizes.select("root", F.greatest(F.ceil(F.col("_held") / CHUNK_SHINGLES), least).cast("int").alias("chunks"))
+    wanted = checkpointed(grouped.join(small_or_not(checkpointed(chunks)), "root").drop("n_shingles"))
+    # A node whose copies are many is read once.
+    firsts = texts.join(small_or_not(wanted), "text_key").dropDuplicates(["node"])
+    dealt = _shingle_sets(firsts, width).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("chunks")).cast("int"))
+    cells = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "root", F.least("chunk", "_other").alias("first"), F.greatest("chunk", "_other").alias("second"), "chunk", "node", "shingles"
+    )
+    found = cells.groupBy("root", "first", "second").applyInArrow(lambda table: _cell_links(table, similarity), "u binary, v binary")
+    return components(found)
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", width: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -289,7 +343,7 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", width: int = SHINGL
     else:
         found = checkpointed(_banded(rows, width))
         nodes = checkpointed(found.groupBy("node").agg(
-            F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
+            F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("fp", "n_shingles", "bands")]
         ))
         linked = near_copy_links(nodes, rows.select("text_key", "text"), width, similarity)
     placed = found.select(*KEYS, "node").join(linked, "node", "left").select(F.coalesce("root", "node").alias("root"), *KEYS)
