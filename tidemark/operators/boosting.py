@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tidemark.operators.prep import to_long
 from tidemark.operators.selection import quantile_columns
 from tidemark.operators.splits import balanced_weights
-from tidemark.session import materialise, small_frame
+from tidemark.session import materialise, small_frame, spread
 
 BINS = 255
 ROWS_PER_BLOCK = 8192
-# Trees whose sums are added to the blocks' margins together.
-TREES_PER_REFRESH = 25
+# Trees whose sums are added to the blocks' margins together. Every pass over the blocks walks down the trees not added yet.
+TREES_PER_REFRESH = 5
 # A side with less curvature than this is not split off.
 LEAST_CURVATURE = 1e-3
 
@@ -295,6 +295,7 @@ def fit_boosted(
     drawn at random, so ``seed`` changes nothing. The margin starts at the log odds of the weighted classes.
     """
     features = list(features)
+    train = spread(train)
     weights = {row[label]: row["weight"] for row in balanced_weights(train, label).collect()}
     edges = bin_edges(train, features, bins)
     # With both classes balanced the weighted odds are even; one class alone has bounded odds.

@@ -77,6 +77,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+# Rows that are fitted on are dealt into partitions of about this many.
+FIT_ROWS = 16_384
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in partitions of about ``FIT_ROWS`` rows.
+
+    Adaptive execution merges partitions by their bytes. Passes that work long on every row, as fits do, would
+    then run in a task or two. A table in more partitions stays as it is.
+    """
+    held = materialise(df)
+    wanted = -(-held.count() // FIT_ROWS)
+    return materialise(held.repartition(wanted)) if held.rdd.getNumPartitions() < wanted else held
+
+
 # A table is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 200_000
 
