@@ -21,7 +21,7 @@ from tidemark.operators.splits import (
     stratified_holdout,
     with_group_folds,
 )
-from tidemark.session import materialise
+from tidemark.session import materialise, spread
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def calibrated_scores(split: DataFrame, learner: Learner, settings: ValidationSe
     """
     keep = [*settings.ids, settings.label]
     test = split.where("is_test")
-    train = materialise(
+    train = spread(
         with_group_folds(
             split.where(~F.col("is_test")), settings.group, settings.label, seed, settings.inner_folds, "inner_fold"
         )
@@ -106,7 +106,7 @@ def score_splits(
     """(model, unit, ids..., y, p) pooled over splits and learners."""
     parts = []
     for number, seed, split in splits:
-        split = materialise(split)
+        split = spread(split)
         for name, learner in settings.learners.items():
             score = calibrated_scores if calibrate else plain_scores
             scores = score(split, learner, settings, seed)
