@@ -47,7 +47,9 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray, most: int) -> Index:
         if above >= 0:
             child[above] = number
         leaf = len(members) <= PAGE
-        chosen = members if leaf else members[np.linspace(0, len(members) - 1, PAGE).astype(int)]
+        # No more parts than fill half of their pages, so that a leaf is worth a visit.
+        parts = len(members) if leaf else min(PAGE, -(-2 * len(members) // PAGE))
+        chosen = members if leaf else members[np.linspace(0, len(members) - 1, parts).astype(int)]
         pages.append([len(entry), len(entry) + len(chosen), int(leaf)])
         gaps = np.zeros(len(chosen)) if pivot is None else np.sqrt(((points[chosen] - pivot) ** 2).sum(axis=1))
         first = len(entry)
@@ -73,51 +75,91 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray, most: int) -> Index:
     }
 
 
+def best_of(asked: np.ndarray, scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` best per question, questions rising, ties to smaller ids."""
+    order = np.lexsort((ids, -scores, asked))
+    starts = np.flatnonzero(np.diff(asked[order], prepend=-1))
+    turn = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[turn < most]
+
+
 def search_tree(tree: Index, questions: Index, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each question its ``most`` best (ids, scores) of the tree, ties to smaller ids."""
+    """For each question its ``most`` best (ids, scores) of the tree, ties to smaller ids.
+
+    Questions that reach the same page are held against it together. Each first goes down to
+    the leaf nearest to it, so that it has a limit; then pages are taken by rising bound, and
+    a question leaves a page whose bound is beyond its own limit.
+    """
     points, ids, starts, pages = tree["points"], tree["ids"], tree["starts"], tree["pages"]
     entry, parent, child, radius = tree["entry"], tree["parent"], tree["child"], tree["radius"]
-    lengths = (points**2).sum(axis=1).max()
-    for k, (own, vector) in enumerate(zip(questions["ids"].tolist(), questions["vectors"])):
-        query = np.append(vector, 0.0)
-        reach = float(query @ query) + lengths
-        slack = SLACK * (reach + 1)
-        best: list[tuple[int, int]] = []
-        limit = np.inf
-        queue = [(0.0, 0, -1.0)]
-        while queue:
-            bound, page, gap = heapq.heappop(queue)
-            if bound > limit:
-                break
-            first, end, leaf = pages[page].tolist()
-            at = np.arange(first, end)
-            if gap >= 0:
-                # The triangle inequality over the parent's distance spares most computations.
-                at = at[np.abs(gap - parent[first:end]) - radius[first:end] <= limit]
-            if not len(at):
-                continue
-            products = points[entry[at]] @ query
-            gaps = np.sqrt(np.maximum(reach - 2 * products, 0.0))
-            if not leaf:
-                bounds = np.maximum(gaps - radius[at], 0.0)
-                for j in np.flatnonzero(bounds <= limit).tolist():
-                    heapq.heappush(queue, (float(bounds[j]), int(child[at[j]]), float(gaps[j])))
+    own, vectors = questions["ids"], questions["vectors"]
+    total = len(own)
+    reach = (vectors**2).sum(axis=1) + (points**2).sum(axis=1).max()
+    slack = SLACK * (reach + 1)
+    limit, worst = np.full(total, np.inf), np.full(total, -np.inf)
+    # The best found so far: question, score and id, by question.
+    best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+    everyone = np.arange(total)
+    # Later visits than the first way down, lowest bound, number of the entry; page, questions, bounds, distances to its pivot.
+    queue: list[tuple] = [(0, 0.0, 0, 0, everyone, np.zeros(total), None)]
+    number = 0
+    while queue:
+        later, _, _, page, active, bounds, gap = heapq.heappop(queue)
+        still = bounds <= limit[active]
+        active, gap = active[still], gap if gap is None else gap[still]
+        first, end, leaf = pages[page].tolist()
+        at = np.arange(first, end)
+        if gap is not None:
+            # The triangle inequality over the parent's distance spares most computations.
+            open_ = np.abs(gap[:, None] - parent[first:end]) - radius[first:end] <= limit[active][:, None]
+            active, at = active[open_.any(axis=1)], at[open_.any(axis=0)]
+        if not len(active) or not len(at):
+            continue
+        products = vectors[active] @ points[entry[at], :-1].T
+        if leaf:
+            which, where = np.nonzero(products >= worst[active][:, None])
+            held = entry[at[where]]
+            copies = starts[held + 1] - starts[held]
+            listed = np.arange(copies.sum()) + np.repeat(starts[held] - np.cumsum(copies) + copies, copies)
+            asked, found = np.repeat(active[which], copies), ids[listed]
+            hits = np.rint(products[which, where])
+            if len(hits) and np.abs(hits).max() >= 2.0**63:
+                raise OverflowError("an inner product is too large for a long")
+            scores = np.repeat(hits, copies).astype(np.int64)
+            other = found != own[asked]
+            if not other.any():
                 continue
-            for j in np.flatnonzero(gaps <= limit).tolist():
-                score = int(round(float(products[j])))
-                point = int(entry[at[j]])
-                for i in ids[starts[point] : starts[point + 1]].tolist():
-                    if i != own:
-                        if len(best) < most:
-                            heapq.heappush(best, (score, -i))
-                        elif (score, -i) > best[0]:
-                            heapq.heapreplace(best, (score, -i))
-                        else:
-                            break
-            if len(best) == most:
-                limit = np.sqrt(max(reach - 2 * best[0][0], 0.0) + slack) + np.sqrt(slack) * 1e-3
-        ranked = sorted(best, key=lambda x: (-x[0], -x[1]))
-        yield k, np.array([-i for _, i in ranked], np.int64), np.array([s for s, _ in ranked], np.int64)
+            asked, scores, found = asked[other], scores[other], found[other]
+            changed = np.zeros(total, bool)
+            changed[asked] = True
+            old = changed[best[0]]
+            mine = [np.concatenate([b[old], n]) for b, n in zip(best, (asked, scores, found))]
+            kept = best_of(*mine, most)
+            mine = [m[kept] for m in mine]
+            # A question with ``most`` answers has a limit, the score of the last of them.
+            last = np.flatnonzero(np.bincount(mine[0], minlength=total) >= most)
+            lowest = mine[1][np.searchsorted(mine[0], last, side="right") - 1]
+            worst[last] = lowest
+            limit[last] = np.sqrt(np.maximum(reach[last] - 2 * lowest, 0.0) + slack[last]) + np.sqrt(slack[last]) * 1e-3
+            best = tuple(np.concatenate([b[~old], m]) for b, m in zip(best, mine))
+            continue
+        gaps = np.sqrt(np.maximum(reach[active][:, None] - 2 * products, 0.0))
+        bounds = np.maximum(gaps - radius[at], 0.0)
+        hopeful = bounds <= limit[active][:, None]
+        nearest = np.zeros_like(hopeful)
+        if not later:
+            nearest[np.arange(len(active)), gaps.argmin(axis=1)] = True
+        for turn, chosen in ((0, nearest & hopeful), (1, hopeful & ~nearest)):
+            for j in np.flatnonzero(chosen.any(axis=0)).tolist():
+                k = np.flatnonzero(chosen[:, j])
+                number += 1
+                item = (turn, float(bounds[k, j].min()), number, int(child[at[j]]), active[k], bounds[k, j], gaps[k, j])
+                heapq.heappush(queue, item)
+    kept = best_of(*best, most)
+    asked, scores, found = (b[kept] for b in best)
+    edges = np.searchsorted(asked, np.arange(total + 1))
+    for k in everyone.tolist():
+        yield k, found[edges[k] : edges[k + 1]], scores[edges[k] : edges[k + 1]]
 
 
 def exact_top(
