@@ -5,7 +5,7 @@ from types import SimpleNamespace
 
 import numpy as np
 
-from tidemark.llm import mtree
+from tidemark.llm import blocks, mtree, multi_index
 
 
 def test_m_tree_holds_pages_against_all_their_questions(monkeypatch):
@@ -32,3 +32,27 @@ def test_m_tree_holds_pages_against_all_their_questions(monkeypatch):
     leaves = tree["pages"][tree["pages"][:, 2] == 1]
     assert (leaves[:, 1] - leaves[:, 0]).mean() > mtree.PAGE / 8
     assert len(visits) < 4 * len(chosen)
+
+
+def test_multi_index_is_one_index_however_rows_are_blocked(spark, monkeypatch):
+    """Two lengths, repeated vectors and ids: the same rows from blocks of any size, scores and ranks as computed by hand."""
+    draw = np.random.default_rng(4)
+    made = [(i, draw.normal(size=24)) for i in range(900)]
+    made += [(1000 + i, made[20][1]) for i in range(60)] + [(40, made[40][1]), (None, made[1][1])] + [(2000 + i, draw.normal(size=3)) for i in range(41)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in made], "vec_id long, embedding array<double>").repartition(3)
+    found = []
+    for size in (4096, 90):
+        monkeypatch.setattr(blocks, "BLOCK_ROWS", size)
+        monkeypatch.setattr(multi_index, "BLOCK_ROWS", size, raising=False)
+        found.append(sorted(map(tuple, multi_index.approximate_nearest(frame, share=0.3).collect())))
+    assert found[0] == found[1]
+    vector = {i: v for i, v in made if i is not None}
+    asked = [i for i, _ in made if i is not None and i % 20 == 0]
+    assert len(found[0]) == 20 * len(asked)
+    hits = {}
+    for query, rank, i, score in found[0]:
+        assert i != query and score == (vector[i] * vector[query]).sum()
+        hits.setdefault(query, []).append((rank, -score, i))
+    for query in set(asked):
+        rows = sorted(hits[query])
+        assert [r[1:] for r in rows] == sorted(r[1:] for r in rows) and [rows[0][0], rows[-1][0]] == [1, 20]

@@ -66,25 +66,25 @@ def in_blocks(rows: DataFrame, most: int, build: Callable[[np.ndarray, np.ndarra
             yield block(dims)
 
     layout = pa.schema([("uid", pa.string()), ("dims", pa.int32()), ("data", pa.binary())])
-    return checkpointed(in_batches(rows).mapInArrow(packed, "uid string, dims int, data binary"))
+    return checkpointed(in_batches(rows.select("id", "v")).mapInArrow(packed, "uid string, dims int, data binary"))
 
 
 def searched(
     queries: DataFrame, candidates: DataFrame, most: int, score_type: T.DataType,
     build: Callable[[np.ndarray, np.ndarray], Index],
     search: Callable[[Index, Index], Iterator[tuple[int, np.ndarray, np.ndarray]]],
+    ask: Callable[[np.ndarray, np.ndarray], Index] = lambda ids, v: {"ids": ids, "vectors": v},
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``most`` highest scores of every query over all blocks.
 
     Every block of queries meets every block of candidates once, by a join on the block's
     slot; a slot holds one block or a few. ``search`` gives, for each query of a block, at
     most ``most`` candidates of one candidate block, so what is merged per query is bounded
-    by the number of blocks. Vectors meet only those of their own length.
+    by the number of blocks. ``ask`` makes a block of queries, with their ids and what else a
+    search needs. Vectors meet only those of their own length.
     """
     data = in_blocks(candidates, BLOCK_ROWS, build)
-    asked = in_blocks(
-        queries.repartition(1 + queries.count() // QUERY_ROWS), QUERY_ROWS, lambda ids, v: {"ids": ids, "vectors": v}
-    )
+    asked = in_blocks(queries.repartition(1 + queries.count() // QUERY_ROWS), QUERY_ROWS, ask)
     slots = max(1, min(data.count(), MOST_SLOTS))
     left = data.select("dims", F.pmod(F.hash("uid"), F.lit(slots)).alias("slot"), F.col("data"))
     right = asked.select("dims", F.col("uid").alias("asked"), F.col("data").alias("query"))
@@ -113,6 +113,14 @@ def searched(
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("query_id", "rank", "vec_id", "score")
 
 
+def best_of(asked: np.ndarray, scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` best per question, questions rising, ties to smaller ids."""
+    order = np.lexsort((ids, -scores, asked))
+    starts = np.flatnonzero(np.diff(asked[order], prepend=-1))
+    turn = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[turn < most]
+
+
 def lifted(vectors: np.ndarray) -> np.ndarray:
     """One more component, so that all have the same length and the nearest has the largest product."""
     norms = (vectors**2).sum(axis=1)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, types as T
 
-from tidemark.llm.blocks import Index, lifted, searched, usable
+from tidemark.llm.blocks import Index, best_of, lifted, searched, usable
 
 PAGE = 48
 SCALE = 256
@@ -75,14 +75,6 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray, most: int) -> Index:
     }
 
 
-def best_of(asked: np.ndarray, scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Places of the ``most`` best per question, questions rising, ties to smaller ids."""
-    order = np.lexsort((ids, -scores, asked))
-    starts = np.flatnonzero(np.diff(asked[order], prepend=-1))
-    turn = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-    return order[turn < most]
-
-
 def search_tree(tree: Index, questions: Index, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each question its ``most`` best (ids, scores) of the tree, ties to smaller ids.
 
