@@ -83,6 +83,53 @@ def test_boosting_of_one_class_and_of_constant_columns(spark):
     assert fit_boosted(mixed, ["a"], "y", rounds=2).score(mixed, ["y"]).first()["p"] == 0.5
 
 
+def chain_of_rows(n=20_000, width=3, bins=128):
+    """Rows whose splits all go down one side, while every other node has small gains of its own."""
+    rng = np.random.default_rng(4)
+    table = rng.integers(0, bins, (n, width))
+    y = rng.random(n) < np.where(table[:, 0] % 2 == 0, 0.9, 0.1) * (table[:, 0] / bins) ** 3
+    return table, 0.5 - y, np.full(n, 0.25)
+
+
+def grown(table, g, h, bins, **options):
+    """(tree, most nodes asked at once, most bytes held, passes) of a growth fed from rows in memory."""
+    growth, most, held, passes = boosting.Growth(**options), 0, 0, 0
+    while asked := growth.asked():
+        at, found = boosting.leaf_of(growth.ahead.arrays(), table), {}
+        for node in asked:
+            rows = at == node
+            found[node] = np.stack([
+                np.stack([np.bincount(table[rows, f], w[rows], bins) for w in (g, h, np.ones(len(g)))], 1) for f in range(table.shape[1])
+            ])
+        growth.tell(found)
+        known = [*growth.sums.values(), *[s.left if s.left.base is None else s.left.base for s in growth.splits.values() if s]]
+        most, held, passes = max(most, len(asked)), max(held, sum(a.nbytes for a in known)), passes + 1
+    return growth.tree(1.0)[0], most, held, passes
+
+
+def test_growth_looks_at_no_more_nodes_than_there_are_leaves_left():
+    """What the driver holds and asks for is bounded by leaves, features and bins, not by how deep the rows go."""
+    table, g, h = chain_of_rows()
+    tree, most, held, passes = grown(table, g, h, 128, leaves=12, l2=0.01, least_rows=20)
+    assert most < 12 and held <= 3 * 12 * table.shape[1] * 128 * 3 * 8
+    # The same leaves as by always taking the best leaf, with every sum found when it is wanted.
+    front = [np.arange(len(g))]
+
+    def best(rows):
+        sums = np.stack([np.stack([np.bincount(table[rows, f], w[rows], 128) for w in (g, h, np.ones(len(g)))], 1) for f in range(3)])
+        return boosting.best_split(sums, 0.01, 20)
+
+    while len(front) < 12:
+        found = [best(rows) for rows in front]
+        k = max((k for k in range(len(front)) if found[k]), key=lambda k: found[k].gain)
+        rows, split = front.pop(k), found[k]
+        left = table[rows, split.feature] <= split.bin
+        front += [rows[left], rows[~left]]
+    leaf = boosting.leaf_of(tree.arrays(), table)
+    assert passes <= 12
+    assert sorted(sorted(r.tolist()) for r in front) == sorted(np.flatnonzero(leaf == n).tolist() for n in np.unique(leaf))
+
+
 def brute_information(values, classes, neighbours=3):
     psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, int(n)))
     pairs = [(v, c) for v, c in zip(values, classes) if v is not None and c is not None]

@@ -8,6 +8,7 @@ sums, whose number is bounded by leaves, features and bins, whatever the number
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -86,27 +87,29 @@ def best_split(sums: np.ndarray, l2: float, least_rows: int) -> Split | None:
     if not best > 1e-12:
         return None
     feature, at = np.unravel_index(int((gain >= best - 1e-9 * abs(best)).argmax()), gain.shape)
-    return Split(float(best), int(feature), int(at), left[feature, at])
+    # A copy: a part of ``left`` would keep all of it.
+    return Split(float(best), int(feature), int(at), left[feature, at].copy())
 
 
 class Growth:
     """Best-first growth of one tree; a round asks for the sums of all nodes that may be split next.
 
-    Which node is split next depends on gains alone. So nodes are looked at ahead, as many as leaves are left, and
-    the tree takes from them in the order of their gains.
+    Which node is split next depends on gains alone. So nodes are looked at ahead, and the tree takes from them in the
+    order of their gains. Those that cannot come in time are not looked beyond: a round asks for fewer nodes than the tree
+    may have leaves, and sums are held for one round.
     """
 
     def __init__(self, leaves: int, l2: float, least_rows: int):
         self.leaves, self.l2, self.least = leaves, l2, least_rows
         self.ahead = Tree()  # all nodes looked at
         self.splits: dict[int, Split | None] = {}
-        self.sums: dict[int, np.ndarray] = {}
+        self.sums: dict[int, np.ndarray] = {}  # of nodes that were asked for or divided in this round
         self.taken: list[int] = []
         self.front: set[int] = {0}
 
     def asked(self) -> list[int]:
         """Nodes of ``ahead`` whose sums are needed now; none once the tree is complete."""
-        if not self.sums:
+        if not self.splits:
             return [0]
         while len(self.front) < self.leaves:
             open_ = [n for n in self.front if self.splits.get(n) is not None]
@@ -121,8 +124,10 @@ class Growth:
         else:
             return []
         # Looking at all of them costs one front more of sums, and saves a pass over the rows for each step further down.
+        divided = self._may_be_taken()
+        self.sums = {n: self.sums[n] for n in divided}
         needed = []
-        for n in [n for n in self.splits if self.ahead.left[n] < 0 and self.splits[n] is not None and self._may_be_taken(n)]:
+        for n in divided:
             split = self.splits[n]
             children = self.ahead.split(n, split.feature, split.bin)
             whole = self.sums[n][0].sum(0)
@@ -135,11 +140,25 @@ class Growth:
                 needed.append(children[small])
         return needed if needed else self.asked()
 
-    def _may_be_taken(self, node: int) -> bool:
-        """Whether fewer nodes of a higher gain are open than leaves are left; those above it do not count."""
-        room = self.leaves - len(self.front)
-        gain = self.splits[node].gain
-        return sum(1 for n in self.front if self.splits.get(n) is not None and self.splits[n].gain > gain) < room
+    def _may_be_taken(self) -> list[int]:
+        """Nodes not looked beyond that are reached before the leaves run out, in the order of their numbers.
+
+        The tree is grown on as if nothing unknown had a gain. Nodes still unknown can only come between, never change the
+        order of those known, so a node that is not reached now is never split. At most as many are as leaves are left.
+        """
+        ahead, room, reached = self.ahead, self.leaves - len(self.front), []
+        open_ = [(-self.splits[n].gain, n) for n in self.front if self.splits.get(n) is not None]
+        heapq.heapify(open_)
+        while open_ and room:
+            node = heapq.heappop(open_)[1]
+            room -= 1
+            if ahead.left[node] < 0:
+                reached.append(node)
+                continue
+            for child in (ahead.left[node], ahead.right[node]):
+                if self.splits[child] is not None:
+                    heapq.heappush(open_, (-self.splits[child].gain, child))
+        return sorted(reached)
 
     def tell(self, found: dict[int, np.ndarray]) -> None:
         for node, sums in found.items():
