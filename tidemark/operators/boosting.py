@@ -25,6 +25,8 @@ BINS = 255
 ROWS_PER_BLOCK = 8192
 # Trees whose sums are added to the blocks' margins together. Every pass over the blocks walks down the trees not added yet.
 TREES_PER_REFRESH = 5
+# Partitions of dealt rows that are walked over in one task, where that leaves no core idle: every task of a pass sends all its sums, and the driver keeps a record of it.
+PARTS_PER_TASK = 8
 # A side with less curvature than this is not split off.
 LEAST_CURVATURE = 1e-3
 
@@ -193,7 +195,9 @@ BLOCK = "y binary, w binary, bins binary, margin binary"
 
 
 def _blocks(train: DataFrame, features: Sequence[str], label: str, edges: Sequence[np.ndarray], start: float, weights: dict[int, float]) -> DataFrame:
-    """Rows as blocks of binned features, labels, weights and margins."""
+    """Rows as blocks of binned features, labels, weights and margins, which take so little room that a task holds many."""
+    parts = train.rdd.getNumPartitions()
+    tasks = max(-(-parts // PARTS_PER_TASK), min(parts, train.sparkSession.sparkContext.defaultParallelism))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +212,7 @@ def _blocks(train: DataFrame, features: Sequence[str], label: str, edges: Sequen
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in row], ["y", "w", "bins", "margin"])
 
     columns = train.select(F.col(label).cast("int"), *[F.col(f).cast("double") for f in features])
-    return materialise(columns.mapInArrow(packed, BLOCK))
+    return materialise(columns.mapInArrow(packed, BLOCK).coalesce(tasks))
 
 
 def _decoded(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, ...]]:
